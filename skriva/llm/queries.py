@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skriva.llm import conversations as conv
-from skriva.llm import terms
+from skriva.llm import secrets, terms
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -87,6 +87,16 @@ def p2_terms(spark: SparkSession, d: str) -> DataFrame:
     return _all_terms(spark, d)
 
 
+@_query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.secret_fields(_t(spark, d, "turns"), "turn_id", ["text", "detail"]).select("turn_id", "field_name").distinct()
+
+
+@_query
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.secret_fields(_t(spark, d, "turns"), "turn_id", ["text", "detail"], redact=True)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
