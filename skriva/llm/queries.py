@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skriva.llm import conversations as conv
-from skriva.llm import secrets, terms
+from skriva.llm import pii, secrets, terms
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -97,6 +97,25 @@ def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
     return secrets.secret_fields(_t(spark, d, "turns"), "turn_id", ["text", "detail"], redact=True)
 
 
+def _personal(spark: SparkSession, d: str, redact: bool = False) -> DataFrame:
+    model = pii.train(pii.known_names(_t(spark, d, "person_names")))
+    parts = [
+        pii.personal_data(_t(spark, d, table), key, [field], model, redact).withColumn("table_name", F.lit(table)).withColumnRenamed(key, "row_id")
+        for table, key, field in (("turns", "turn_id", "text"), ("chunks", "chunk_id", "body"))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+@_query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _personal(spark, d).select("table_name", "row_id", "pii_type").distinct()
+
+
+@_query
+def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return _personal(spark, d, redact=True).select("table_name", "row_id", "field_name", "redacted")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
