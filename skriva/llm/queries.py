@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skriva.llm import conversations as conv
-from skriva.llm import pii, secrets, terms
+from skriva.llm import pii, rankwalk, secrets, splitter, terms, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -97,6 +97,55 @@ def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
     return secrets.secret_fields(_t(spark, d, "turns"), "turn_id", ["text", "detail"], redact=True)
 
 
+@_query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    pieces = splitter.split_items(_t(spark, d, "chunks"), "chunk_id", "body", emit_text=False)
+    return pieces.where("pieces > 1").select("chunk_id").distinct()
+
+
+_SQL["p4_found"] = r"""
+WITH c AS (
+  SELECT chunk_id, length(regexp_replace(body, '[^\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{ff66}-\x{ff9f}\x{ac00}-\x{d7af}]', '', 'g')) AS cjk,
+         length(body) AS n FROM chunks)
+SELECT DISTINCT chunk_id FROM c WHERE cjk + (n - cjk + 3) // 4 > 400
+"""
+
+
+@_query
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    chunks = _t(spark, d, "chunks").dropDuplicates(["chunk_id", "note_id", "seq", "breadcrumb", "body"])
+    return splitter.split_items(chunks, "chunk_id", "body", ["breadcrumb"])
+
+
+@_query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return rankwalk.clear_winners(rankwalk.rank_items(_t(spark, d, "hits")))
+
+
+_SQL["p5_found"] = r"""
+WITH v AS (
+  SELECT query_id, chunk_id, l, max(CASE WHEN l IN ('all-terms', 'keyword', 'partial') THEN -score ELSE score END) AS g
+  FROM (SELECT *, replace(lower(trim(matched_by)), '_', '-') AS l FROM hits)
+  WHERE score IS NOT NULL AND isfinite(score) AND query_id IS NOT NULL AND chunk_id IS NOT NULL
+    AND l IN ('all-terms', 'keyword', 'partial', 'substring', 'semantic')
+  GROUP BY ALL),
+r AS (SELECT *, rank() OVER (PARTITION BY query_id, l ORDER BY g DESC) AS rk FROM v),
+b AS (SELECT query_id, l, count(*) AS ties, min(chunk_id) AS chunk_id FROM r WHERE rk = 1 GROUP BY ALL)
+SELECT query_id, min(chunk_id) AS chunk_id FROM b GROUP BY query_id
+HAVING count(*) >= 2 AND max(ties) = 1 AND min(chunk_id) = max(chunk_id)
+"""
+
+
+@_query
+def p5_ranking(spark: SparkSession, d: str) -> DataFrame:
+    return rankwalk.rank_items(_t(spark, d, "hits"))
+
+
+@_query
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokenizer.encode_column(_t(spark, d, "documents"), "doc_id", "text")
+
+
 def _personal(spark: SparkSession, d: str, redact: bool = False) -> DataFrame:
     model = pii.train(pii.known_names(_t(spark, d, "person_names")))
     parts = [
