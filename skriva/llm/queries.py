@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skriva.llm import conversations as conv
-from skriva.llm import pii, rankwalk, secrets, splitter, terms, tokenizer
+from skriva.llm import leakage, pii, quality, rankwalk, secrets, splitter, terms, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -165,6 +165,44 @@ def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
     return _personal(spark, d, redact=True).select("table_name", "row_id", "field_name", "redacted")
 
 
+@_query
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(_t(spark, d, "documents"), _t(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+@_query
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    leaks = leakage.find_leaks(_t(spark, d, "documents"), _t(spark, d, "eval_items"))
+    return leaks.withColumn("containment", F.round("containment", 6))
+
+
+_P9_BASE = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\pL\pN]+') AS t FROM documents),
+ds AS (SELECT DISTINCT doc_id, array_to_string(t[i:i + 11], ' ') AS g FROM (SELECT doc_id, t, unnest(range(1, len(t) - 10)) AS i FROM dw)),
+dc AS (SELECT doc_id, regexp_replace(lower(text), '[^\pL\pN]', '', 'g') AS t FROM documents),
+dg AS (SELECT DISTINCT doc_id, substr(t, i, 20) AS g FROM (SELECT doc_id, t, unnest(range(1, length(t) - 18)) AS i FROM dc)),
+iw AS (SELECT item_id, regexp_extract_all(lower(passage), '[\pL\pN]+') AS t FROM eval_items WHERE lang <> 'ja'),
+ic AS (SELECT item_id, regexp_replace(lower(passage), '[^\pL\pN]', '', 'g') AS t FROM eval_items WHERE lang = 'ja'),
+isw AS (SELECT DISTINCT item_id, array_to_string(t[i:i + 11], ' ') AS g FROM (SELECT item_id, t, unnest(range(1, len(t) - 10)) AS i FROM iw)),
+isc AS (SELECT DISTINCT item_id, substr(t, i, 20) AS g FROM (SELECT item_id, t, unnest(range(1, length(t) - 18)) AS i FROM ic)),
+n AS (SELECT item_id, count(*) AS size FROM (SELECT * FROM isw UNION ALL SELECT * FROM isc) GROUP BY ALL),
+hits AS (SELECT doc_id, item_id, count(*) AS shared FROM ds JOIN isw USING (g) GROUP BY ALL
+         UNION ALL SELECT doc_id, item_id, count(*) AS shared FROM dg JOIN isc USING (g) GROUP BY ALL)
+"""
+_SQL["p9_found"] = _P9_BASE + "SELECT doc_id, item_id FROM hits"
+_SQL["p9_leaks"] = _P9_BASE + "SELECT doc_id, item_id, shared, round(shared / size, 6) AS containment FROM hits JOIN n USING (item_id)"
+
+
+@_query
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.judge_documents(_t(spark, d, "documents")).where("unlike_prose").select("doc_id").distinct()
+
+
+@_query
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.judge_documents(_t(spark, d, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
