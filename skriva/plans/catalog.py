@@ -1,23 +1,26 @@
-"""Every query of the core: name -> (query, SQL that must give the same rows)."""
+"""Every query of the core: name -> (query, SQL that must give the same rows).
 
-from __future__ import annotations
+The queries live in the `plans` modules by subject; each module registers its own on import.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
+from skriva.plans import catalog_data
+from skriva.plans.registry import QUERIES, SQL, Query
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return QUERIES["p7_found"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
+
+
+__all__ = ["catalog_data", "flagship", "oracle_sql", "queries"]
