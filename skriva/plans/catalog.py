@@ -7,12 +7,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skriva.plans import catalog_data
+from skriva.plans import catalog_data, catalog_review, catalog_search, catalog_sessions, catalog_text
 from skriva.plans.registry import QUERIES, SQL, Query
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["p7_found"](spark, sf_dir)
+    return QUERIES["rrf_fusion"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
@@ -23,4 +23,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-__all__ = ["catalog_data", "flagship", "oracle_sql", "queries"]
+__all__ = ["catalog_data", "catalog_review", "catalog_search", "catalog_sessions", "catalog_text", "flagship", "oracle_sql", "queries"]
