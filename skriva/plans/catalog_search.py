@@ -114,7 +114,7 @@ _COST = f"CASE WHEN coalesce(tokens, 0) > 0 THEN tokens ELSE {s.tokens('body')}
 @query(
     f"""WITH {_RANKINGS}, pos AS ({_positions(False)}),
 packed AS (SELECT query_id, list(struct_pack(c := chunk_id, t := {_COST}) ORDER BY position) AS items FROM pos GROUP BY query_id),
-picked AS (SELECT query_id, items, list_reduce(items, (a, x) -> CASE WHEN len(a.hits) = 8 THEN a
+picked AS (SELECT query_id, items, list_reduce(items, lambda a, x: CASE WHEN len(a.hits) = 8 THEN a
     WHEN a.spent + x.t > 2000 THEN struct_pack(hits := a.hits, spent := a.spent, over := a.over + 1)
     ELSE struct_pack(hits := list_append(a.hits, x.c), spent := a.spent + x.t, over := a.over) END,
   struct_pack(hits := []::BIGINT[], spent := 0::BIGINT, over := 0::BIGINT)) AS r FROM packed)

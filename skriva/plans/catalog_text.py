@@ -31,7 +31,7 @@ def normalise_text(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH t AS (SELECT DISTINCT id, text, {s.query_terms("text")} AS ts FROM queries)
-SELECT id, array_to_string(ts, ' ') AS terms, array_to_string(list_filter(ts, x -> length(x) >= 3), ' ') AS long_terms, array_to_string(list_filter(ts, x -> length(x) < 3), ' ') AS short_terms FROM t"""
+SELECT id, array_to_string(ts, ' ') AS terms, array_to_string(list_filter(ts, lambda x: length(x) >= 3), ' ') AS long_terms, array_to_string(list_filter(ts, lambda x: length(x) < 3), ' ') AS short_terms FROM t"""
 )
 def query_terms(spark: SparkSession, d: str) -> DataFrame:
     terms = text.query_terms(F.col("text"))
@@ -43,8 +43,8 @@ def query_terms(spark: SparkSession, d: str) -> DataFrame:
     f"""WITH t AS (SELECT DISTINCT unnest({s.query_terms("text")}) AS term FROM queries)
 SELECT term, regexp_matches(term, '[{s.SEARCH_CJK}]') AS ideographs, CASE WHEN length(term) >= 5 AND regexp_matches(term, '[{s.SEARCH_CJK}]')
   THEN array_to_string(list_distinct_ordered, '|') ELSE term END AS windows
-FROM (SELECT term, list_filter(l, (x, i) -> list_position(l, x) = i) AS list_distinct_ordered
-      FROM (SELECT term, list_concat([term], list_transform(range(0, greatest(length(term) - 3, 0), 2), i -> substr(term, (i + 1)::INTEGER, 4)), [substr(term, greatest(length(term) - 3, 1), 4)]) AS l FROM t))"""
+FROM (SELECT term, list_filter(l, lambda x, i: list_position(l, x) = i) AS list_distinct_ordered
+      FROM (SELECT term, list_concat([term], list_transform(range(0, greatest(length(term) - 3, 0), 2), lambda i: substr(term, (i + 1)::INTEGER, 4)), [substr(term, greatest(length(term) - 3, 1), 4)]) AS l FROM t))"""
 )
 def cjk_windows(spark: SparkSession, d: str) -> DataFrame:
     terms = table(spark, d, "queries").select(F.explode(text.query_terms(F.col("text"))).alias("term")).distinct()
@@ -55,7 +55,7 @@ def cjk_windows(spark: SparkSession, d: str) -> DataFrame:
     f"""WITH {s.NOTES} SELECT note_id, CASE WHEN starts_with(path, 'journal/episodes/') THEN 'episode' WHEN starts_with(path, 'journal/') THEN 'journal' ELSE 'durable' END AS tier_by_path,
 CASE WHEN len(x) = 0 THEN '' WHEN x[1] = 'journal' THEN CASE WHEN len(x) > 2 THEN x[2] ELSE '' END WHEN len(x) > 1 THEN x[1] ELSE '' END AS project_by_path,
 coalesce({s.strip("project")}, CASE WHEN len(x) = 0 THEN '' WHEN x[1] = 'journal' THEN CASE WHEN len(x) > 2 THEN x[2] ELSE '' END WHEN len(x) > 1 THEN x[1] ELSE '' END) AS project
-FROM (SELECT *, list_filter(string_split(path, '/'), y -> y <> '') AS x FROM n)"""
+FROM (SELECT *, list_filter(string_split(path, '/'), lambda y: y <> '') AS x FROM n)"""
 )
 def tier_project(spark: SparkSession, d: str) -> DataFrame:
     from skriva.sources.tables import latest_notes
@@ -92,8 +92,8 @@ def _meta(key: str) -> str:
     f"""WITH f AS (SELECT doc_id, text, {_meta("title")} AS mt, {_meta("tags")} AS mg, CASE WHEN regexp_matches({_FRONT}, '(?m)^project:') THEN {_meta("project")} END AS mp,
   regexp_replace(regexp_replace(coalesce(text, ''), '(?s)\\A---[ \\t]*\\r?\\n(.*?\\n)---[ \\t]*(?:\\r?\\n|\\z)', ''), '\\A\\n+', '') AS body FROM documents)
 SELECT doc_id, CASE WHEN mt <> '' THEN mt ELSE coalesce(nullif({s.strip("regexp_extract(body, '(?m)^#{1,6}[ \\t]+([^\\r\\n]*)', 1)")}, ''), doc_id::VARCHAR) END AS title,
-array_to_string(list_transform(list_filter(string_split(regexp_replace(mg, '^[\\[\\]]+|[\\[\\]]+$', '', 'g'), ','), x -> trim(x) <> ''), x -> trim(x)), '|') AS tags,
-array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '\\[\\[([^\\]|#]+)(?:[#|][^\\]]*)?\\]\\]', 1), x -> trim(x)))), '|') AS links,
+array_to_string(list_transform(list_filter(string_split(regexp_replace(mg, '^[\\[\\]]+|[\\[\\]]+$', '', 'g'), ','), lambda x: trim(x) <> ''), lambda x: trim(x)), '|') AS tags,
+array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '\\[\\[([^\\]|#]+)(?:[#|][^\\]]*)?\\]\\]', 1), lambda x: trim(x)))), '|') AS links,
 mp AS project FROM f""".replace("\\\\", "\\")
 )
 def md_parse(spark: SparkSession, d: str) -> DataFrame:
@@ -120,7 +120,7 @@ def chunk_seq(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH t AS (SELECT DISTINCT unnest(tags) AS tag FROM notes), j AS (SELECT doc_id, {_meta("tags")} AS raw FROM documents)
-SELECT doc_id, array_to_string(list_transform(list_filter(string_split(regexp_replace(raw, '^[\\[\\]]+|[\\[\\]]+$', '', 'g'), ','), x -> trim(x) <> ''), x -> trim(x)), '|') AS tags FROM j""".replace("\\\\", "\\")
+SELECT doc_id, array_to_string(list_transform(list_filter(string_split(regexp_replace(raw, '^[\\[\\]]+|[\\[\\]]+$', '', 'g'), ','), lambda x: trim(x) <> ''), lambda x: trim(x)), '|') AS tags FROM j""".replace("\\\\", "\\")
 )
 def tag_split(spark: SparkSession, d: str) -> DataFrame:
     raw = F.try_element_at(markdown.front_matter(F.col("text")), F.lit("tags"))
@@ -129,7 +129,7 @@ def tag_split(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {s.NOTES} SELECT note_id, {s.stem("path")} AS stem, substr(sha256(path), 1, 16) AS slug, trim(path, '/') AS prefix,
-'journal/episodes/' || CASE WHEN coalesce(project, '') = '' THEN '_global' ELSE project END || '/2025-01-01-cli-' || substr(digest, 1, 8) || '.md' AS episode,
+'journal/episodes/' || CASE WHEN coalesce(project, '') = '' THEN '_global' ELSE project END || '/2025-01-01-cli-' || coalesce(nullif(substr(digest, 1, 8), ''), 'unknown') || '.md' AS episode,
 regexp_replace(regexp_extract('git@host.invalid:' || path || '.git', '([^/:]*)$', 1), '\\.git$', '') AS repository FROM n""".replace("\\\\", "\\")
 )
 def path_strings(spark: SparkSession, d: str) -> DataFrame:
@@ -149,7 +149,7 @@ def path_strings(spark: SparkSession, d: str) -> DataFrame:
 
 def _grams(x: str) -> str:
     n = s.squeeze(x)
-    return f"list_distinct(list_transform(range(1, length({n}) - 3), i -> substr({n}, i::INTEGER, 5)))"
+    return f"list_distinct(list_transform(range(1, length({n}) - 3), lambda i: substr({n}, i::INTEGER, 5)))"
 
 
 @query(
@@ -164,7 +164,7 @@ def set_overlap(spark: SparkSession, d: str) -> DataFrame:
 _PAIRS = rf"""
 WITH t AS (SELECT doc_id, {s.squeeze("text")} AS n FROM documents WHERE text IS NOT NULL),
 r AS (SELECT min(doc_id) AS id, n FROM t GROUP BY n),
-w AS (SELECT id, list_filter(string_split(n, ' '), x -> x <> '') AS ws FROM r),
+w AS (SELECT id, list_filter(string_split(n, ' '), lambda x: x <> '') AS ws FROM r),
 g AS (SELECT DISTINCT id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
 c AS (SELECT id, count(*) AS c FROM g GROUP BY id),
 f AS (SELECT g FROM g GROUP BY g HAVING count(*) > 1),

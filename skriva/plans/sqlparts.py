@@ -23,7 +23,7 @@ def tokens(x: str) -> str:
 
 def query_terms(x: str) -> str:
     cleaned = strip(rf"""regexp_replace(coalesce({x}, ''), '["*(){{}}:^-]', ' ', 'g')""")
-    return rf"list_filter(string_split_regex({cleaned}, '[{WS}]+'), t -> t <> '')"
+    return rf"list_filter(string_split_regex({cleaned}, '[{WS}]+'), lambda t: t <> '')"
 
 
 def stem(x: str) -> str:
@@ -43,7 +43,7 @@ PASSAGES = (
     NOTES
     + """,
 p AS (SELECT chunk_id, note_id, seq, coalesce(breadcrumb, '') AS breadcrumb, coalesce(body, '') AS body, tokens, path, project, tier,
-             coalesce(title, '') AS title, coalesce(array_to_string(list_filter(tags, x -> x IS NOT NULL), ' '), '') AS tags
+             coalesce(title, '') AS title, coalesce(array_to_string(list_filter(tags, lambda x: x IS NOT NULL), ' '), '') AS tags
       FROM (SELECT DISTINCT * FROM chunks WHERE chunk_id IS NOT NULL) c JOIN n USING (note_id))"""
 )
 
@@ -64,10 +64,10 @@ BM25 = f"""
 {PASSAGES},
 {ASKED},
 {_LOW},
-qt AS (SELECT query_id, list_distinct(list_transform(list_filter({query_terms("text")}, t -> length(t) >= 3), t -> lower(t))) AS ts FROM q),
+qt AS (SELECT query_id, list_distinct(list_transform(list_filter({query_terms("text")}, lambda t: length(t) >= 3), lambda t: lower(t))) AS ts FROM q),
 asked AS (SELECT query_id, len(ts) AS n, unnest(ts) AS term FROM qt),
-pieces AS (SELECT query_id, ts, list_distinct(flatten(list_transform(ts, t -> CASE WHEN length(t) >= 5 AND regexp_matches(t, '[{SEARCH_CJK}]')
-             THEN list_concat([t], list_transform(range(0, length(t) - 3, 2), i -> substr(t, (i + 1)::INTEGER, 4)), [substr(t, length(t) - 3, 4)]) ELSE [t] END))) AS w FROM qt),
+pieces AS (SELECT query_id, ts, list_distinct(flatten(list_transform(ts, lambda t: CASE WHEN length(t) >= 5 AND regexp_matches(t, '[{SEARCH_CJK}]')
+             THEN list_concat([t], list_transform(range(0, length(t) - 3, 2), lambda i: substr(t, (i + 1)::INTEGER, 4)), [substr(t, length(t) - 3, 4)]) ELSE [t] END))) AS w FROM qt),
 windows AS (SELECT query_id, len(w) AS n, unnest(w) AS term FROM pieces WHERE len(w) > len(ts)),
 terms AS (SELECT term FROM asked UNION SELECT term FROM windows),
 matches AS (SELECT chunk_id, term, 4 * {_count("lt")} + 3 * {_count("lg")} + 2 * {_count("lb")} + {_count("ly")} AS f, {_LENGTH} AS d
@@ -98,7 +98,7 @@ def keyword_rankings(depth: int, visible: str = "true") -> str:
 
 def substring_ranking(depth: int, visible: str = "true") -> str:
     rows = f"""SELECT query_id, chunk_id, tokens, sum(contains(ly, term)::INT + 2 * contains(lb, term)::INT + 3 * contains(lt, term)::INT)::DOUBLE AS score
-      FROM (SELECT * FROM low WHERE {visible}) JOIN (SELECT DISTINCT query_id, lower(unnest(list_filter({query_terms("text")}, t -> length(t) < 3))) AS term FROM q)
+      FROM (SELECT * FROM low WHERE {visible}) JOIN (SELECT DISTINCT query_id, lower(unnest(list_filter({query_terms("text")}, lambda t: length(t) < 3))) AS term FROM q)
         ON contains(ly, term) OR contains(lb, term) OR contains(lt, term) GROUP BY ALL"""
     return top(rows, "substring", depth, "score DESC, coalesce(tokens, 0)")
 
