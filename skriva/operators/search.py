@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from skriva.functions import scoring
 from skriva.functions.text import cjk_windows, long_terms, query_terms, short_terms
+from skriva.session import cut
 
 DIGITS = 6
 DEFAULT_LIMIT, DEFAULT_BUDGET = 8, 2000
@@ -111,7 +112,8 @@ def keyword_rankings(passages: DataFrame, queries: DataFrame, depth: int, scope:
     visible = passages.where(F.lit(True) if scope is None else scope).select("chunk_id")
     asked = distinct_terms(queries, long_terms)
     windows = windowed_terms(queries)
-    parts = bm25_parts(passages, asked.select("term").union(windows.select("term")))
+    # Three rankings read the parts; they are computed once.
+    parts = cut(bm25_parts(passages, asked.select("term").union(windows.select("term"))))
     scores = _bm25_scores(parts, asked, visible)
     full = scores.where("found = n")
     rankings = _top(full.where("n > 1"), "all-terms", depth, [F.col("score")])

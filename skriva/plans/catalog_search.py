@@ -9,6 +9,7 @@ from skriva.functions import scoring, text
 from skriva.operators import evaluate, review, search, select, vectors
 from skriva.plans import sqlparts as s
 from skriva.plans.registry import query
+from skriva.session import cut
 from skriva.sources.tables import distinct_chunks, passages, table
 
 DEPTH = search.depth_of(search.DEFAULT_LIMIT)
@@ -159,7 +160,7 @@ SELECT query_id, label, rank, chunk_id, true FROM wide WHERE query_id NOT IN (SE
 )
 def widen_on_miss(spark: SparkSession, d: str) -> DataFrame:
     p, q = _passages(spark, d), asked(spark, d)
-    scoped = search.keyword_rankings(p, q, DEPTH, search.in_scope("project", PROJECT))
+    scoped = cut(search.keyword_rankings(p, q, DEPTH, search.in_scope("project", PROJECT)))
     missed = q.join(scoped.select("query_id").distinct(), "query_id", "left_anti")
     wide = search.keyword_rankings(p, missed, DEPTH)
     columns = ["query_id", "label", "rank", "chunk_id"]
