@@ -29,7 +29,7 @@ def read_lines(spark: SparkSession, roots: list[str]) -> DataFrame:
     A file is one row until it is split, so that its lines keep their order. `session_id` is the file name without
     `.jsonl` and `rollout-`.
     """
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(list(roots))
+    raw = spark.read.text(list(roots), wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.jsonl")
     name = F.regexp_replace(F.regexp_replace(F.col("_metadata.file_name"), r"\.jsonl$", ""), "^rollout-", "")
     files = raw.select(name.alias("session_id"), F.col("_metadata.file_path").alias("path"), (F.unix_micros("_metadata.file_modification_time") / 1e6).alias("modified"), "value")
     return files.select("session_id", "path", "modified", F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
