@@ -125,6 +125,14 @@ def test_vectors_recall(spark):
     assert [(r.query_id, r.chunk_id) for r in vectors.cosine_ranking(odd.where("vec_id = 1"), odd, 5).collect()] == [(1, 1)]
 
 
+def test_registered_index_search_finds_its_share(spark):
+    from skriva.plans import catalog_search
+
+    d = "/root/testdata/sf0.1"
+    exact, near = ({(r.query_id, r.chunk_id) for r in f(spark, d).collect()} for f in (catalog_search.cosine_topk, catalog_search.ann_cells))
+    assert len(exact & near) / len(exact) >= 0.9
+
+
 def test_snapshots(spark, tmp_path):
     store = snapshots.Store(spark, str(tmp_path / "s"))
     assert store.read("notes") is None
