@@ -114,6 +114,27 @@ def test_near_duplicates_match_brute_force(spark):
     assert classes == {1: (1, 1), 2: (1, 1), 3: (1, 1), 4: (4, 0), 6: (6, 0), 7: (7, 0)}
 
 
+def test_passage_duplicates_match_brute_force(spark, monkeypatch):
+    from skriva.operators.select import shingle_set
+
+    monkeypatch.setattr(neardup, "BLOCK_GRAMS", 400)
+    japanese = "認証の設計は端末の側で鍵を作り、署名だけを送ることにした。理由は鍵を外へ出さないため。"
+    long = " ".join(f"word{i * i}" for i in range(40))
+    bodies = [japanese, japanese + "移行の前に、古い署名をすべて無効にしておく必要がある。" * 3, long, long + " and " + long[::-1], "ABC  def ghi", "x abc def ghi and so on", long[:200] + "?" * 60, "", None]
+    rows = [(i, f"{i}.md", "h", b) for i, b in enumerate(bodies)] + [(100 + i, f"copy{i // 2}.md", "h", "the same  note in many Places") for i in range(90)]
+    df = spark.createDataFrame(rows, "chunk_id bigint, path string, breadcrumb string, body string")
+    sets = {i: (path, shingle_set(b)) for i, path, _, b in rows}
+    want = {
+        (i, j)
+        for i, (p, a) in sets.items()
+        for j, (q, b) in sets.items()
+        if i < j and p != q and min(len(a), len(b)) >= 10 and len(a & b) / min(len(a), len(b)) >= 0.8
+    }
+    got = [(r.left, r.right) for r in neardup.passage_duplicates(df).collect()]
+    assert {(0, 1), (2, 3)} < want and len(want) > 3900
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_vectors_recall(spark):
     v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     q = v.where("vec_id % 50 = 0")
