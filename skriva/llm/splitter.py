@@ -13,7 +13,7 @@ the weight between a and b (4 per ideograph, 1 per other) is at most 4n: a prefi
 The tables of many texts are joined into one in each task and squared together. There is no shuffle: rows under the
 limit stay in the JVM, and only oversized ones go to Python.
 
-Null, empty and blank bodies give no piece.
+Null and empty bodies and blank ones within the limit give no piece; a blank one over it is cut like any other text.
 """
 
 from __future__ import annotations
@@ -169,10 +169,10 @@ def split_items(df: DataFrame, key: str, text: str, keep: list[str] = (), limit:
     One row per piece; an item within the limit is its own only piece. Rows are taken as they are, repeated ones too.
     """
     keep = list(keep)
-    own = df.select(F.col(key), *keep, F.col(text).alias("_text")).where(~is_blank(F.col("_text")))
+    own = df.select(F.col(key), *keep, F.col(text).alias("_text"))
     small: Column = estimate_tokens(F.col("_text")) <= limit
     names = [key, *keep]
-    whole = own.where(small).select(
+    whole = own.where(~is_blank(F.col("_text")) & small).select(
         *names,
         F.lit(0).alias("piece"),
         F.lit(1).alias("pieces"),

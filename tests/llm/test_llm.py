@@ -116,6 +116,17 @@ def test_split_rows(spark):
     assert splitter.split_items(df.limit(0), "chunk_id", "body").count() == 0
 
 
+def test_long_blank_bodies_are_split(spark):
+    bodies = [" " * 1601, "\n" * 5000, "\u3000 \n" * 1000, " " * 1600, "", None]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "chunk_id bigint, body string")
+    rows = splitter.split_items(df, "chunk_id", "body").collect()
+    assert {r.chunk_id for r in rows} == {0, 1, 2}
+    for i in range(3):
+        own = sorted((r.start, r.end) for r in rows if r.chunk_id == i)
+        assert len(own) > 1 and own[0][0] == 0 and own[-1][1] == len(bodies[i])
+        assert all(e - b <= 1600 for b, e in own) and all(c <= b for (_, b), (c, _) in zip(own, own[1:], strict=False))
+
+
 def brute_walk(scores, damping=rankwalk.DAMPING):
     """scores: label -> chunk -> score; the walk as a dense matrix."""
     items = sorted({c for s in scores.values() for c in s})
