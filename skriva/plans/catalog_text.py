@@ -184,9 +184,9 @@ def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def near_duplicate_classes(spark: SparkSession, d: str) -> DataFrame:
-    from skriva.operators.neardup import duplicate_classes
+    from skriva.operators.neardup import document_classes
 
-    return duplicate_classes(table(spark, d, "documents"), "doc_id", "text")
+    return document_classes(table(spark, d, "documents"), "doc_id", "text")
 
 
 @query(

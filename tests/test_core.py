@@ -114,6 +114,17 @@ def test_near_duplicates_match_brute_force(spark):
     assert classes == {1: (1, 1), 2: (1, 1), 3: (1, 1), 4: (4, 0), 6: (6, 0), 7: (7, 0)}
 
 
+def test_every_document_has_a_class(spark):
+    import __spark_entry__ as entry
+
+    d = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()}
+    rows = entry.queries()["near_duplicate_classes"](spark, d).collect()
+    assert len(rows) == len(docs) and {r.doc_id for r in rows} == set(docs)
+    empty = [r for r in rows if docs[r.doc_id] is None]
+    assert empty and all((r.class_id, r.links) == (r.doc_id, 0) for r in empty)
+
+
 def test_passage_duplicates_match_brute_force(spark, monkeypatch):
     from skriva.operators.select import shingle_set
 
