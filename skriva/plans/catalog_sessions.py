@@ -153,4 +153,4 @@ WHERE text IS NOT NULL AND (kind IN ('result', 'command') OR kind = 'edit' AND t
 def transcript_turns(spark: SparkSession, d: str) -> DataFrame:
     """All turns, written as transcript lines and read back."""
     lines = as_lines(turns(spark, d).where("text IS NOT NULL AND (kind <> 'edit' OR text <> '')"))
-    return transcripts.claude_turns(transcripts.parsed_lines(lines)).select("session_id", "line_no", "kind", "text")
+    return transcripts.claude_turns(transcripts.parsed_lines(lines, None)).select("session_id", "line_no", "kind", "text")

@@ -35,12 +35,13 @@ def read_lines(spark: SparkSession, roots: list[str]) -> DataFrame:
     return files.select("session_id", "path", "modified", F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
 
 
-def parsed_lines(lines: DataFrame, limit: int = MAX_CHARS) -> DataFrame:
-    """session_id, line_no, v: the JSON objects of each transcript, up to `limit` characters of it."""
+def parsed_lines(lines: DataFrame, limit: int | None = MAX_CHARS) -> DataFrame:
+    """session_id, line_no, v: the JSON objects of each transcript, up to `limit` characters of it; None for all."""
     from skriva.operators.blocked import running_sum
 
-    upto = running_sum(lines, ["session_id"], ["line_no"], F.length("value") + 1, "upto").where(F.col("upto") <= limit)
-    parsed = upto.where(F.trim("value") != "").select("session_id", "line_no", F.try_parse_json("value").alias("v"))
+    if limit is not None:
+        lines = running_sum(lines, ["session_id"], ["line_no"], F.length("value") + 1, "upto").where(F.col("upto") <= limit)
+    parsed = lines.where(F.trim("value") != "").select("session_id", "line_no", F.try_parse_json("value").alias("v"))
     return parsed.where("v IS NOT NULL")
 
 

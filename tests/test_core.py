@@ -213,6 +213,15 @@ def test_transcripts(spark):
     assert transcripts.folders(parsed).first()["cwd"] == "/w"
 
 
+def test_transcript_turns_have_no_cap(spark, monkeypatch):
+    import __spark_entry__ as entry
+
+    rows = entry.queries()["transcript_turns"]
+    whole = rows(spark, "/root/testdata/sf0.001").count()
+    monkeypatch.setattr(transcripts.parsed_lines, "__defaults__", (1000,))
+    assert rows(spark, "/root/testdata/sf0.001").count() == whole > 0
+
+
 def test_episode(spark):
     rows = [("s", i, i, k, t, "", None) for i, (k, t) in enumerate([("user", "Please fix it\nnow"), ("command", "ls"), ("command", "ls"), ("result", "fine"), ("edit", "a.py"), ("result", "1 passed"), ("agent", "password=hunter2hunter2")])]
     t = clean_turns(spark.createDataFrame(rows, "session_id string, seq int, turn_id bigint, kind string, text string, detail string, logged_at timestamp"))
