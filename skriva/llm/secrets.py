@@ -44,7 +44,9 @@ _SHAPES = re.compile(
 _PEM = re.compile(
     r"-----BEGIN (?P<kind>[A-Z0-9 ]*?)-----(?P<body>(?:(?!-----BEGIN )[^-])*)(?P<end>-----END [A-Z0-9 ]*-----)?"
 )
-_PEM_TAIL = re.compile(r"(?P<body>(?:[A-Za-z0-9+/=]{16,}(?:\s|\\n)+){0,200}[A-Za-z0-9+/=]{4,}(?:\s|\\n)*)-----END (?P<kind>[A-Z0-9 ]*)-----")
+_PEM_END = re.compile(r"-----END (?P<kind>[A-Z0-9 ]*)-----")
+#: The lines before an end, read backwards.
+_PEM_TAIL = re.compile(r"(?:\s|n\\)*[A-Za-z0-9+/=]{4,}(?:(?:\s|n\\)+[A-Za-z0-9+/=]{16,})*")
 _PEM_BODY = re.compile(r"[A-Za-z0-9+/=]{20,}")
 
 #: Spans that look random and are none of the kinds sought: hashes with their label, embedded data.
@@ -58,49 +60,49 @@ _INERT = re.compile(
 _STEMS = ("pass", "pwd", "kennwort", "secret", "token", "key", "auth", "cred", "session", "sid", "cookie", "jwt", "sig", "bearer")
 _VALUE = re.compile(
     r"[\w.\-]*[\"'\]]{0,2}\s{0,3}(?:=>|:=|=|:)\s{0,3}"
-    r"(?:(?P<q>\\?[\"'`])(?P<qv>(?:(?!(?P=q))[^\n]){1,2000})(?P=q)|(?P<v>[^\s\"'`,;<>]{4,2000}))"
+    r"(?:(?P<q>\\?[\"'`])|(?P<v>[^\s\"'`,;<>]{4,}))"
 )
 _NAME_HEAD = re.compile(r"[A-Za-z_][\w.\-]{0,80}$")
 _NAME_TAIL = re.compile(r"[\w.\-]*")
 #: The further parts of a string that is written in several pieces.
-_MORE = re.compile(r"\s*[+.]?\s*\\?\s*[\"'`](?P<v>[A-Za-z0-9+/=_\-!?#$%&*.]{4,2000})[\"'`]")
+_MORE = re.compile(r"\s*[+.]?\s*\\?\s*[\"'`](?P<v>[A-Za-z0-9+/=_\-!?#$%&*.]{4,})[\"'`]")
 #: (words one of which the lower-case text must hold, pattern): names and values in other forms than an assignment.
 _SPOKEN = [
     (words, re.compile(p))
     for words, p in (
-        (("env ", "export ", "set ", "arg "), r"(?:^|\s)(?:ENV|export|set|setx|ARG)\s+(?P<n>[A-Za-z_]\w*)\s+[\"']?(?P<v>[^\s\"']{4,2000})"),
-        (("</",), r"<(?P<n>[A-Za-z_][\w.\-]*)>(?P<v>[^<>\s]{4,2000})</"),
-        (("--",), r"--(?P<n>[a-z][\w\-]*)[ =]+[\"']?(?P<v>[^\s\"']{4,2000})"),
-        ((" password ",), r"\b(?:login|user)\s+\S+\s+(?P<n>password)\s+(?P<v>\S{4,2000})"),
+        (("env ", "export ", "set ", "arg "), r"(?:^|\s)(?:ENV|export|set|setx|ARG)\s+(?P<n>[A-Za-z_]\w*)\s+[\"']?(?P<v>[^\s\"']{4,})"),
+        (("</",), r"<(?P<n>[A-Za-z_][\w.\-]*)>(?P<v>[^<>\s]{4,})</"),
+        (("--",), r"--(?P<n>[a-z][\w\-]*)[ =]+[\"']?(?P<v>[^\s\"']{4,})"),
+        ((" password ",), r"\b(?:login|user)\s+\S+\s+(?P<n>password)\s+(?P<v>\S{4,})"),
         (
             (" is ", " was ", " ist ", " lautet "),
-            r"(?i)\b(?P<n>password|passwd|passphrase|passcode|secret|token|api[ _-]?key|access[ _-]?key|pwd)(?:\s+(?:for|of|to|on)\s+\S+)?\s+(?:is|was|ist|lautet)(?:\s+now)?:?\s+[\"'`]?(?P<v>[^\s\"'`]{4,2000})",
+            r"(?i)\b(?P<n>password|passwd|passphrase|passcode|secret|token|api[ _-]?key|access[ _-]?key|pwd)(?:\s+(?:for|of|to|on)\s+\S+)?\s+(?:is|was|ist|lautet)(?:\s+now)?:?\s+[\"'`]?(?P<v>[^\s\"'`]{4,})",
         ),
         (
             (" lautet", " ist ", " war ", " heißt"),
-            r"(?i)\b(?P<n>kennwort|passwort|schlüssel|token)(?:\s+(?:für|von|zu|in|auf)\s+\S+)?\s+(?:lautet|ist|war|heißt):?\s+[\"'`]?(?P<v>[^\s\"'`]{4,2000})",
+            r"(?i)\b(?P<n>kennwort|passwort|schlüssel|token)(?:\s+(?:für|von|zu|in|auf)\s+\S+)?\s+(?:lautet|ist|war|heißt):?\s+[\"'`]?(?P<v>[^\s\"'`]{4,})",
         ),
         (
             ("パスワード", "暗証番号", "トークン", "apiキー", "秘密鍵", "シークレット"),
-            r"(?P<n>パスワード|暗証番号|トークン|APIキー|秘密鍵|シークレット)\s*(?:は|が|:|：|=)\s*[「『\"'`]?(?P<v>[\x21-\x7e]{4,2000})",
+            r"(?P<n>パスワード|暗証番号|トークン|APIキー|秘密鍵|シークレット)\s*(?:は|が|:|：|=)\s*[「『\"'`]?(?P<v>[\x21-\x7e]{4,})",
         ),
-        (("hmac",), r"\b(?P<n>hmac)(?:\.new|\.create|_sha\w*|\.digest)?\(\s*(?:bytes\.fromhex\(|b)?\s*[\"'](?P<v>[^\"'\s]{16,500})[\"']"),
+        (("hmac",), r"\b(?P<n>hmac)(?:\.new|\.create|_sha\w*|\.digest)?\(\s*(?:bytes\.fromhex\(|b)?\s*[\"'](?P<v>[^\"'\s]{16,})[\"']"),
     )
 ]
 #: Positions that hold a credential by the form of the line, as above.
 _LOGIN = [
     (words, re.compile(p))
     for words, p in (
-        (("://",), r"(?P<s>[a-z][a-z0-9+.\-]{0,20})://[^\s:/@\"'<>]*:(?P<v>[^\s/@\"'<>]{1,500}|[^\s@\"'<>]{1,500})@[\w\[\]$.{}\-]"),
-        (("curl ", "wget ", "http "), r"\b(?:curl|wget|http)\b[^\n]*?\s(?:-u|--user)[ =]?[\"']?[^\s:\"']+:(?P<v>[^\s\"']{4,500})"),
-        (("sshpass",), r"\bsshpass\s+-p\s*[\"']?(?P<v>[^\s\"']{4,500})"),
-        (("mysql", "mariadb", "mongo"), r"\b(?:mysql|mysqldump|mariadb|mongo|mongosh)\b[^\n]*?\s-p[\"']?(?P<v>[^\s\"'-][^\s\"']{3,500})"),
-        ((" login",), r"\b(?:docker|helm|podman|oras)\s+login\b[^\n]*?\s-p[ =]?[\"']?(?P<v>[^\s\"']{4,500})"),
-        (("bearer ", "basic "), r"(?i)\b(?:bearer|basic)\s+(?P<v>[A-Za-z0-9+/=._~\-]{8,2000})"),
+        (("://",), r"(?P<s>[a-z][a-z0-9+.\-]{0,20})://[^\s:/@\"'<>]*:(?P<v>[^\s/@\"'<>]+|[^\s@\"'<>]+)@[\w\[\]$.{}\-]"),
+        (("curl ", "wget ", "http "), r"\b(?:curl|wget|http)\b[^\n]*?\s(?:-u|--user)[ =]?[\"']?[^\s:\"']+:(?P<v>[^\s\"']{4,})"),
+        (("sshpass",), r"\bsshpass\s+-p\s*[\"']?(?P<v>[^\s\"']{4,})"),
+        (("mysql", "mariadb", "mongo"), r"\b(?:mysql|mysqldump|mariadb|mongo|mongosh)\b[^\n]*?\s-p[\"']?(?P<v>[^\s\"'-][^\s\"']{3,})"),
+        ((" login",), r"\b(?:docker|helm|podman|oras)\s+login\b[^\n]*?\s-p[ =]?[\"']?(?P<v>[^\s\"']{4,})"),
+        (("bearer ", "basic "), r"(?i)\b(?:bearer|basic)\s+(?P<v>[A-Za-z0-9+/=._~\-]{8,})"),
     )
 ]
 _PGPASS_GATE = re.compile(r":(?:\d{4,5}|\*):[\w*\-]+:")
-_PGPASS = re.compile(r"(?<![\w.\-])[\w.\-]{1,200}:(?:\d{2,5}|\*):[\w*\-]+:[\w\-]+:(?P<v>[^\s:\"']{4,500})")
+_PGPASS = re.compile(r"(?<![\w.\-])[\w.\-]{1,200}:(?:\d{2,5}|\*):[\w*\-]+:[\w\-]+:(?P<v>[^\s:\"']{4,})")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9+/=_\-])[A-Za-z0-9+/_\-]{20,}={0,2}(?![A-Za-z0-9+/_\-])")
 
 # What stands in for a credential.
@@ -197,11 +199,15 @@ def _pem_blocks(s: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int
                 end = m.start("body") + [x.end() for x in re.finditer(r"[A-Za-z0-9+/=]{16,}", m["body"])][-1]
             found.append((m.start("body") + body.start(), end, "private_key"))
         blocks.append(m.span())
-    for m in _PEM_TAIL.finditer(s):
-        if not any(a <= m.start("body") < b for a, b in blocks):
+    at = 0
+    for m in _PEM_END.finditer(s):
+        tail = _PEM_TAIL.match(s[at : m.start()][::-1])
+        at = m.end()
+        if tail and not any(a <= m.start() - tail.end() < b for a, b in blocks):
+            span = (m.start() - tail.end(), m.start())
             if "PRIVATE KEY" in m["kind"]:
-                found.append((*m.span("body"), "private_key"))
-            blocks.append(m.span())
+                found.append((*span, "private_key"))
+            blocks.append((span[0], m.end()))
     return found, blocks
 
 
@@ -223,8 +229,14 @@ def _assigned(s: str, low: str) -> list[tuple[int, int, str]]:
             strong = bool(_NAMES.search(name))
             if not strong and not _WEAK_NAMES.search(name):
                 continue
-            a, b = m.span("qv" if m["q"] else "v")
-            if not m["q"]:
+            if m["q"]:
+                # To the next such quote in the line, however far.
+                a, line = m.end(), s.find("\n", m.end())
+                b = s.find(m["q"], a, line if line >= 0 else len(s))
+                if b <= a:
+                    continue
+            else:
+                a, b = m.span("v")
                 if (amp := s.find("&", a, b)) > 0:
                     b = amp
                 a, b = _trim(s, a, b)
@@ -234,7 +246,7 @@ def _assigned(s: str, low: str) -> list[tuple[int, int, str]]:
             found.append((a, b, "named"))
             if m["q"]:
                 seen.add(m.start("q"))
-                more = _MORE.match(s, m.end())
+                more = _MORE.match(s, b + len(m["q"]))
                 while more:
                     found.append((*more.span("v"), "named"))
                     more = _MORE.match(s, more.end())
@@ -279,8 +291,13 @@ def find_secrets(s: str | None) -> list[tuple[int, int, str]]:
     for a, b, kind in sorted(found, key=lambda x: (rank[x[2]], x[0])):
         if kind != "private_key" and any(x <= a < y for x, y in inert):
             continue
-        if all(b <= x or a >= y for x, y, _ in out):
+        over = [i for i, (x, y, _) in enumerate(out) if a < y and x < b]
+        if not over:
             out.append((a, b, kind))
+        elif kind == "token" and len(over) == 1:
+            # A long token that goes beyond a span of higher rank is all one value.
+            x, y, first = out[over[0]]
+            out[over[0]] = (min(a, x), max(b, y), first)
     return sorted(out)
 
 

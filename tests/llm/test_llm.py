@@ -127,6 +127,26 @@ def test_long_blank_bodies_are_split(spark):
         assert all(e - b <= 1600 for b, e in own) and all(c <= b for (_, b), (c, _) in zip(own, own[1:], strict=False))
 
 
+def test_long_secrets_are_found_whole():
+    r = random.Random(4)
+    draw = lambda n, chars="0123456789abcdef": "".join(r.choice(chars) for _ in range(n))
+    value, dotted = draw(5000), ".".join(draw(40) for _ in range(90))
+    for text, secret in (
+        (f'api_key = "{value}" # x', value),
+        (f"client_secret: '{dotted}'", dotted),
+        (f"PASSWORD={value} next", value),
+        (f"Authorization: Bearer {dotted} next", dotted),
+        (f"postgres://u:{value}@host/db", value),
+        (f"export API_TOKEN {value}\n", value),
+    ):
+        redacted, kinds = secrets.redact_text(text)
+        assert kinds and secret[-40:] not in redacted and secret[:40] not in redacted, text[:40]
+        assert len(redacted) < 100
+    lines = "\n".join(draw(64, "ABCDEFGHabcdefgh0123456789+/") for _ in range(500))
+    redacted, kinds = secrets.redact_text(f"{lines}\n-----END RSA PRIVATE KEY-----\nx = 1")
+    assert kinds == ["private_key"] and len(redacted) < 100 and redacted.endswith("x = 1")
+
+
 def brute_walk(scores, damping=rankwalk.DAMPING):
     """scores: label -> chunk -> score; the walk as a dense matrix."""
     items = sorted({c for s in scores.values() for c in s})
