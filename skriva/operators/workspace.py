@@ -26,14 +26,16 @@ def deepest(folders: DataFrame, marks: DataFrame, path: str = "path", mark: str
     return best.select(path, f"b.{name}", f"b.{mark}")
 
 
-def resolve(folders: DataFrame, markers: DataFrame, registry: DataFrame, home: str, forced: str | None = None) -> DataFrame:
-    """path, project, origin: a forced name, else a marker above, else the registry, else the folder's own name; home is ''."""
+def resolve(folders: DataFrame, markers: DataFrame, registry: DataFrame, home: str, forced: str | None = None, repositories: DataFrame | None = None) -> DataFrame:
+    """path, project, origin: a forced name, else a marker above, else the registry, else the
+    git repository (root as mark, and name), else the folder's own name; home is ''."""
     own = folders.select("path").where("path IS NOT NULL").distinct()
     if forced:
         return own.select("path", F.lit(forced).alias("project"), F.lit("environment").alias("origin"))
     m = deepest(own, markers).select("path", F.col("name").alias("m"))
     r = deepest(own, registry).select("path", F.col("name").alias("r"))
+    g = own.select("path", F.lit(None).cast("string").alias("g")) if repositories is None else deepest(own, repositories).select("path", F.col("name").alias("g"))
     last = F.element_at(F.split(F.regexp_replace("path", "/+$", ""), "/"), -1)
-    project = F.coalesce("m", "r", F.when(F.regexp_replace("path", "/+$", "") == home.rstrip("/"), "").otherwise(last))
-    origin = F.when(F.col("m").isNotNull(), "marker").when(F.col("r").isNotNull(), "registry").otherwise("folder")
-    return own.join(m, "path", "left").join(r, "path", "left").select("path", project.alias("project"), origin.alias("origin"))
+    project = F.coalesce("m", "r", "g", F.when(F.regexp_replace("path", "/+$", "") == home.rstrip("/"), "").otherwise(last))
+    origin = F.when(F.col("m").isNotNull(), "marker").when(F.col("r").isNotNull(), "registry").when(F.col("g").isNotNull(), "git").otherwise("folder")
+    return own.join(m, "path", "left").join(r, "path", "left").join(g, "path", "left").select("path", project.alias("project"), origin.alias("origin"))

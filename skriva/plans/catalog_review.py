@@ -197,6 +197,22 @@ def registry_match(spark: SparkSession, d: str) -> DataFrame:
     return workspace.resolve(folders, marks.limit(0), marks, "/work")
 
 
+@query(
+    f"""WITH {_MARKS}, f AS (SELECT DISTINCT cwd AS path FROM sessions WHERE cwd IS NOT NULL),
+k AS (SELECT 'marker' AS origin, mark, 'marked-' || name AS name FROM m WHERE length(name) % 4 = 0
+      UNION ALL SELECT 'registry', mark, name FROM m WHERE length(name) % 4 <= 1 UNION ALL SELECT 'git', mark, 'git-' || name FROM m WHERE length(name) % 4 <= 2),
+x AS (SELECT path, origin, arg_max(name, (length(mark), name)) AS name FROM f JOIN k ON path = mark OR starts_with(path, mark || '/') GROUP BY path, origin),
+w AS (SELECT path, arg_min(name, o) AS name, arg_min(origin, o) AS origin FROM (SELECT *, CASE origin WHEN 'marker' THEN 1 WHEN 'registry' THEN 2 ELSE 3 END AS o FROM x) GROUP BY path)
+SELECT f.path, coalesce(w.name, CASE WHEN f.path = '/work' THEN '' ELSE list_last(string_split(f.path, '/')) END) AS project, coalesce(w.origin, 'folder') AS origin FROM f LEFT JOIN w USING (path)"""
+)
+def workspace_match(spark: SparkSession, d: str) -> DataFrame:
+    """All steps: project folders have a marker, are registered or are repositories, by the length of their names."""
+    folders = table(spark, d, "sessions").select(F.col("cwd").alias("path"))
+    marks = table(spark, d, "notes").where("project <> ''").select(F.concat(F.lit("/work/"), "project").alias("mark"), F.col("project").alias("name")).distinct()
+    upto = lambda n, before: marks.where(F.length("name") % 4 <= n).select("mark", F.concat(F.lit(before), "name").alias("name"))
+    return workspace.resolve(folders, upto(0, "marked-"), upto(1, ""), "/work", repositories=upto(2, "git-"))
+
+
 @query(
     f"""WITH e AS (SELECT DISTINCT id, agent, make_timestamp((ts * 1000000)::BIGINT) AS t, text FROM queries WHERE ts > 0 AND text IS NOT NULL)
 SELECT agent AS project, t::DATE AS day, string_agg('## ' || strftime(t, '%H:%M') || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY t, id) AS body FROM e GROUP BY ALL"""

@@ -237,6 +237,15 @@ def test_workspace(spark):
     assert got == {"/w/a/b": ("alpha", "registry"), "/w/ab": ("all", "registry"), "/home/u": ("", "folder")}
 
 
+def test_workspace_steps_in_order(spark):
+    folders = spark.createDataFrame([(p,) for p in ("/w/a/b", "/w/r/x", "/w/g/x/y", "/w/n", "/home/u")], "path string")
+    marks = lambda *rows: spark.createDataFrame(rows, "mark string, name string")
+    got = workspace.resolve(folders, marks(("/w/a", "A")), marks(("/w/a/b", "B"), ("/w/r", "R")), "/home/u", repositories=marks(("/w/r/x", "X"), ("/w/g", "G"), ("/w/g/x", "GX")))
+    assert {r.path: (r.project, r.origin) for r in got.collect()} == {
+        "/w/a/b": ("A", "marker"), "/w/r/x": ("R", "registry"), "/w/g/x/y": ("GX", "git"), "/w/n": ("n", "folder"), "/home/u": ("", "folder")
+    }
+
+
 def test_attribution_keeps_a_bounded_memory():
     offered, reads = streams.attribute([], [("offer", "a", 1), ("offer", "b", 2), ("offer", "c", 3), ("read", "a", 4), ("read", "c", 5), ("read", "c", 6)], keep=2)
     assert reads == [("c", 5)] and offered == ["b"]
