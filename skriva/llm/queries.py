@@ -195,12 +195,12 @@ _SQL["p9_leaks"] = _P9_BASE + "SELECT doc_id, item_id, shared, round(shared / si
 
 @_query
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return quality.judge_documents(_t(spark, d, "documents")).where("unlike_prose").select("doc_id").distinct()
+    return quality.judge_documents(_t(spark, d, "documents"), _t(spark, d, "quality_labels")).where("unlike_prose").select("doc_id").distinct()
 
 
 @_query
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return quality.judge_documents(_t(spark, d, "documents"))
+    return quality.judge_documents(_t(spark, d, "documents"), _t(spark, d, "quality_labels"))
 
 
 def queries() -> dict[str, Query]:

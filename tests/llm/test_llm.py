@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skriva.llm import conversations, leakage, pii, quality, rankwalk, secrets, splitter, terms, tokenizer
+from skriva.session import cut
 
 TURNS = "turn_id bigint, client string, session_id string, seq int, kind string, text string, detail string, logged_at timestamp, block int, n int"
 
@@ -226,13 +227,51 @@ def test_leaks_match_brute_force(spark):
     assert [(x.doc_id, x.item_id, x.containment) for x in leakage.find_leaks(whole, i, min_share=0.8).collect()] == [(1, 0, 1.0)]
 
 
-def test_quality(spark):
-    prose = "We moved the cache out of the way because it was too slow for us. " * 1
-    docs = [(i, f"{prose} The limit of {i} was chosen for a small table and has not been touched since. After {i} minutes the worker gave up.") for i in range(60)]
-    docs += [(100, "\n".join(f"- item {i}" for i in range(60))), (101, "| a | b |\n" * 40), (102, "x1/" * 400), (103, None), (104, "　\n"), (105, prose * 30)]
-    got = {r.doc_id: r for r in quality.judge_documents(spark.createDataFrame([(*d, 1) for d in docs], "doc_id bigint, text string, language int")).collect()}
-    assert {k for k, r in got.items() if r.unlike_prose} == {100, 101, 102, 105}
-    assert set(got) == set(range(60)) | {100, 101, 102, 105}
-    assert abs(sum(got[100].contributions.values()) - got[100].distance ** 2) < 1e-6
-    empty = spark.createDataFrame([], "doc_id bigint, text string")
-    assert quality.judge_documents(empty).count() == 0
+PROSE = [
+    "We moved the cache out of the way because it was too slow for us. The limit was chosen for a small table and has not been touched since. After some minutes the worker gave up.",
+    "Nobody knows why the queue is read twice. It may be that the first reader was left in by mistake, and that the second one hides it. We will look into it when the release is out.",
+    "She asked whether the report could wait until Monday. I said that it could, but that the figures would be old by then. In the end we sent what we had.",
+]
+STRANGE = [
+    "Mitochondria generate chemical energy. Researchers measured oxygen consumption across several tissues. Young animals consumed considerably more. Muscle samples showed intermediate values.",
+    "Le conseil a repoussé la décision à la semaine prochaine. Les habitants du quartier demandent depuis longtemps un nouveau passage. Personne ne sait encore qui paiera les travaux.",
+]
+JUNK = [
+    "\n".join(f"- item {i}" for i in range(60)),
+    "| a | b |\n| c | d |\n" * 20,
+    "x1/" * 400,
+    PROSE[0].split(". ")[0] + ".\n" + (PROSE[0].split(". ")[0] + ".\n") * 30,
+    "\n".join(f"2025-01-0{i % 9} 10:00:00 INFO worker {i} done in {i} ms" for i in range(30)),
+    "cache queue table parser socket bundle worker filter report layer driver " * 12,
+]
+
+
+def test_quality_by_distance(spark):
+    docs = [(i, PROSE[i % 3] + f" That was case {i}.") for i in range(90)] + [(100 + i, x) for i, x in enumerate(JUNK)] + [(200 + i, x) for i, x in enumerate(STRANGE)]
+    docs += [(300, None), (301, "　\n"), (302, ""), (303, f"---\ntitle: x\n---\n{PROSE[1]}")]
+    df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id bigint, text string, language int")
+    votes = [(i, "Prose", "r1") for i in range(60)] + [(100, "list", "r1"), (101, "table", "r1"), (102, "junk", "r1"), (102, "prose", "r2"), (102, "junk", "r3"), (104, "junk", "r2"), (60, None, "r1"), (61, "prose", "r1"), (61, "junk", "r2"), (None, "junk", "r1"), (999, "junk", "r1")]
+    labels = spark.createDataFrame(votes, "doc_id bigint, label string, rater string")
+    for given in (None, labels, labels.limit(0)):
+        got = {r.doc_id: r for r in quality.judge_documents(df, given).collect()}
+        assert set(got) == {d for d, _ in docs} - {300, 301, 302}
+        found = {k for k, r in got.items() if r.unlike_prose}
+        # All prose here is copies of three texts; how far other prose lies is tested below.
+        assert found - {200, 201} == {100 + i for i in range(len(JUNK))}
+        assert all(abs(sum(r.contributions.values()) - r.distance**2) < 1e-6 and r.unlike_prose == (r.distance > r.cutoff) for r in got.values())
+    assert quality.judge_documents(df.limit(0), labels).count() == 0
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="no test tables")
+def test_prose_unlike_the_tables(spark):
+    stats = cut(quality.document_statistics(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
+    prose = quality.fit_prose(stats, spark.read.parquet("/root/testdata/sf0.01/quality_labels.parquet"))
+    for text, junk in [(x, False) for x in STRANGE + PROSE] + [(x, True) for x in JUNK]:
+        lang, values = quality.statistics(text)
+        assert (prose.distances(np.array([lang], object), np.array([values]))[0][0] > prose.cutoff) == junk, text[:40]
+
+
+def test_cutoff():
+    d, prose = np.array([1.0, 2, 3, 50, 60, 2.5]), np.array([True, True, True, False, False, False])
+    assert 3 < quality.best_cutoff(d, prose) < 50
+    assert quality.best_cutoff(np.array([2.0]), np.array([True])) > 2
