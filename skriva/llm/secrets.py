@@ -1,12 +1,13 @@
 """Credentials embedded in source code, configuration and shell lines.
 
-Candidates are quoted strings, assigned values and long tokens. Each is judged by its Shannon entropy within its own
-alphabet against a threshold that depends on its length and on how much its context says (a secret's name before it, a
-login position, a provider's prefix, nothing). Hashes, identifiers, references and placeholders are taken out. Private
-key blocks are found by their frame, whole or clipped.
+Candidates are all quoted strings, all long tokens, and the values that stand where a credential may: after a name, in a
+login, at a provider's prefix. Each is judged in the same way: its Shannon entropy must reach a share of what a random
+string of its length in its own alphabet shows. A name or a login position before it lowers the share and the least length
+(`CONTEXTS`); nothing else does. Hashes, identifiers, placeholders and references are then taken out by their exact form.
+Private key blocks are found by their frame, whole or clipped.
 
-One pass over the rows, no shuffle: `mapInArrow` with whole texts. Redaction replaces only the value, so quotes,
-separators and the code around them stay.
+Values are followed to their end, whatever their length. One pass over the rows, no shuffle: `mapInArrow` with whole
+texts. Redaction replaces only the value, so quotes, separators and the code around them stay.
 
 Null and empty texts hold no secrets and stay as they are.
 """
@@ -109,12 +110,28 @@ _TOKEN = re.compile(r"(?<![A-Za-z0-9+/=_\-])[A-Za-z0-9+/_\-]{20,}={0,2}(?![A-Za-
 _PLACEHOLDER = re.compile(
     r"(?i)^(?:(?:[a-z]{2,5}[-_])?[x*.•#_\-?0]+|\.{3}.*|(?:your|my|the|some|insert|enter|put|add|use)[-_ ].*|change[-_]?(?:me|it|this).*|replace[-_]?.*|(?:example|sample|dummy|fake|test|placeholder|redacted|hidden|masked|removed|omitted|secret|password|passwd|token|apikey|none|null|nil|undefined|empty|true|false|todo|tbd|n/?a)(?:[-_]?(?:key|token|password|secret|value|here))?)[.,;:!]?$"
 )
-_REFERENCE = re.compile(
-    r"^[\[<({]|^\$|^%|^@|^!|\$\{|\{\{|^\w*\$\w|^(?:arn|vault|ssm|op|kv|secretsmanager|keyring|env|file|keychain|aws-sm|gcp-sm|azure-kv)[:/.]|^(?:os|process|env|config|settings|self|this|ctx|ENV|System|Environment|secrets|vars|st)\.\w|\(\s*[\"']?|^https?://|^(?:\.{0,2}|~)/[\w./\-]*$|^[a-z]+(?:/[a-z0-9_.\-]+)+$|^[a-z_]\w*\[|REDACTED|redacted"
-)
+# Exact forms of references to a variable, a vault, a file, an element or a call.
+_REFERENCES = [
+    re.compile(p)
+    for p in (
+        r"\$\{[^{}]*\}?$|\$\([^()]*\)?$|\$\{\{",  # ${NAME} $(command) ${{ name }}
+        r"\$(?:env:)?(?:[A-Za-z_]+|[A-Z_][A-Z0-9_]*|[a-z_][a-z0-9_]*)(?:[.:/\[].*)?$",  # $NAME
+        r"\{\{|\{[A-Za-z_][\w.]*\}?$|<[A-Za-z][^<>]*>?$|\[[A-Za-z][^\[\]]*\]?$|\($",  # {{ name }} {name} <name> [name]
+        r"%[A-Za-z_]\w*%$|%\(\w+\)[sd]$|%[-\d.]*[sdrv]$",  # %NAME% %(name)s %s
+        r"![A-Za-z]+$",  # !Ref
+        r"@(?:[\w.\-]*/)+[\w.\-]*$|@\w+\.\w{1,5}$",  # @folder/file
+        r"(?:arn|vault|ssm|op|kv|secretsmanager|keyring|env|file|keychain|aws-sm|gcp-sm|azure-kv)[:/.]",
+        r"(?:os|process|env|config|settings|self|this|ctx|ENV|System|Environment|secrets|vars|st)\.[A-Za-z_]",
+        r"[A-Za-z_][\w.]*\([\w.,=/ \"'\-]*\)?$|[A-Za-z_][\w.]*\[[\w\"'\-]*\]?$",  # call(name) name[key]
+        r"https?://",
+        r"(?:\.{0,2}|~)/(?:[A-Za-z_.\-]+\d{0,4}/)*[A-Za-z_.\-]*\d{0,4}$|[a-z]+(?:/[a-z0-9_.\-]+)+$",  # paths
+    )
+]
+_MARKED = re.compile(r"(?i)redacted")
 _HEX = re.compile(r"[0-9a-fA-F]+")
 _ALNUM = re.compile(r"[A-Za-z0-9]+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/=_\-]+")
+_LATIN = re.compile(r"[\x20-\u024f\u20ac]+")
 _WORDS = re.compile(r"[a-z]+(?:[_\-./][a-z]+)*")
 _HASH_LABEL = re.compile(
     r"(?i)(?:commit|sha\d*|digest|etag|hash|md5|checksum|rev(?:ision)?|integrity|fingerprint|uuid|guid|request_id|trace_id|id|blob|tree|W/)[\s:=\"'/\-]*$"
@@ -139,7 +156,10 @@ def alphabet(s: str) -> tuple[str, float]:
         return "alnum", 5.95
     if _BASE64.fullmatch(s):
         return "base64", 6.0
-    return "print", 6.57
+    if s.isascii():
+        return "print", 6.57
+    # Letters of other scripts than Latin make words without blanks, and no credential.
+    return ("wide", 7.0) if _LATIN.fullmatch(s) else ("other", 16.0)
 
 
 def threshold(s: str, bits: float, share: float) -> float:
@@ -151,36 +171,57 @@ def looks_random(s: str, share: float) -> bool:
     return entropy(s) >= threshold(s, alphabet(s)[1], share)
 
 
+#: Per context and alphabet: the least length, and the share of a random string's entropy. Alphabets that aren't named
+#: never hold a credential there: without a name, hex digits are hashes, digits are numbers and letters are words.
+CONTEXTS = {
+    "named": {"digits": (10, 0.6), "hex": (6, 0.6), "letters": (16, 0.85), "alnum": (6, 0.6), "base64": (6, 0.6), "print": (6, 0.6), "wide": (6, 0.6)},
+    "weak": {"alnum": (16, 0.82), "base64": (16, 0.82), "print": (16, 0.82)},
+    "free": {"alnum": (20, 0.82), "base64": (20, 0.82), "print": (20, 0.86)},
+}
+
+
+def random_enough(v: str, context: str) -> bool:
+    """The entropy test: is `v` long and random enough for its alphabet, where it stands?"""
+    name, bits = alphabet(v)
+    least = CONTEXTS[context].get(name)
+    return least is not None and len(v) >= least[0] and entropy(v) >= threshold(v, bits, least[1])
+
+
+def _stands_for_another(v: str) -> bool:
+    """Is `v` a placeholder, a reference or a row of words?"""
+    if _PLACEHOLDER.match(v) or _MARKED.search(v) or _WORDS.fullmatch(v):
+        return True
+    return any(rx.match(v) for rx in _REFERENCES)
+
+
+def _is_text(v: str) -> bool:
+    """Do the blanks in `v` part words, as in a sentence? In a passphrase with blanks, some parts are no words."""
+    parts = v.split()
+    # What begins or ends with a blank stands between two strings and is none.
+    return v != v.strip() or len(parts) > 1 and sum(p.strip(".,;:!?()\"'").isalpha() for p in parts) > len(parts) / 2 or not parts
+
+
 def _named_value(v: str) -> bool:
     """May `v`, which stands where a credential belongs, be one?"""
-    if len(v) < 6 or not v.isascii() or _PLACEHOLDER.match(v) or _REFERENCE.search(v):
-        return False
-    if len(set(v)) < 5 or (v.isdigit() and len(v) < 10):
-        return False
-    if alphabet(v)[0] == "letters":
-        return len(v) >= 16 and looks_random(v, 0.85)
-    if _WORDS.fullmatch(v):
-        return False
-    return looks_random(v, 0.6)
+    return random_enough(v, "named") and not _stands_for_another(v) and not _is_text(v)
 
 
-def _free_value(s: str, v: str, start: int) -> bool:
-    """May the long token `v`, which nothing announces, be a credential? Hashes, ids, names and paths are none."""
+def _free_value(s: str, v: str, start: int, context: str = "free") -> bool:
+    """May `v`, which no name announces, be a credential? Hashes, ids, names and paths are none."""
     core = v.rstrip("=")
     if not (any(map(str.isdigit, core)) and core.lower() != core and core.upper() != core):
         return False
-    if alphabet(v)[0] == "hex" or _HASH_LABEL.search(s, max(0, start - 24), start):
-        return False
-    if _REFERENCE.search(v) or _PLACEHOLDER.match(v):
+    if not random_enough(core, context) or _HASH_LABEL.search(s, max(0, start - 24), start):
         return False
-    parts = [p for p in re.split(r"[/_\-]", core) if p]
+    parts = [p for p in re.split(r"[/_\-.:,;|+ ]", core) if p]
     if all(p.isdigit() or p.isalpha() and (p.islower() or p.isupper() or p.istitle()) for p in parts):
         return False
-    return looks_random(core, 0.82)
+    return not _stands_for_another(v)
 
 
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|[.\-]+")
 _LONG = re.compile(r"[A-Za-z0-9+/_\-]{20}")
+_QUOTED = re.compile(r"\"(?P<d>[^\s\"]{20,})\"|'(?P<s>[^\s']{20,})'|`(?P<b>[^\s`]{20,})`")
 
 
 def _trim(s: str, a: int, b: int) -> tuple[int, int]:
@@ -241,7 +282,7 @@ def _assigned(s: str, low: str) -> list[tuple[int, int, str]]:
                     b = amp
                 a, b = _trim(s, a, b)
             v = s[a:b]
-            if " " in v or not _named_value(v) or not strong and not (len(v) >= 16 and _free_value("", v, 0)):
+            if not (_named_value(v) if strong else _free_value("", v, 0, "weak")):
                 continue
             found.append((a, b, "named"))
             if m["q"]:
@@ -284,6 +325,11 @@ def find_secrets(s: str | None) -> list[tuple[int, int, str]]:
         inert += [m.span() for m in _INERT.finditer(s)]
         found += [(*m.span(), "provider") for m in _SHAPES.finditer(s) if looks_random(m[0][4:], 0.6)]
         found += [(*m.span(), "token") for m in _TOKEN.finditer(s) if _free_value(s, m[0], m.start())]
+    if "\"" in s or "'" in s or "`" in s:
+        for m in _QUOTED.finditer(s):
+            a, b = m.span(m.lastgroup)
+            if _free_value(s, s[a:b], a):
+                found.append((a, b, "token"))
     if not found:
         return []
     out: list[tuple[int, int, str]] = []

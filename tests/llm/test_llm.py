@@ -2,6 +2,7 @@
 
 import os
 import random
+import string
 
 import numpy as np
 import pytest
@@ -91,6 +92,30 @@ def test_secrets(text, kinds):
     assert (redacted == text) is (not kinds) and secrets.find_secrets(redacted) == []
 
 
+@pytest.mark.parametrize("value", ["!Qaz2wsx#Edc", "@dm1nS3cr3t", "$Tr0ngP4ss!x", "%9kLm2Qx8", "aB3(xY9!kk", "Größe42!xY", "cor7ect h0rse b4ttery", "/w9AEz7Ciwz8Kd2q"])
+def test_values_that_look_like_references_are_found(value):
+    for text in (f'password = "{value}"', f"db_secret: '{value}'"):
+        redacted, kinds = secrets.redact_text(text)
+        assert kinds == ["named"] and value not in redacted and len(redacted) == len(text) - len(value) + len("[REDACTED:named]")
+
+
+@pytest.mark.parametrize(
+    "value",
+    ["$DB_PASS", "${DB_PASS}", "$(pass show db)", "!Ref DbPass", "@/run/secrets/db", "%DB_PASS%", "%s", "{{ vault_password }}", "<your password>", "[REDACTED]", "vault:kv/db", "os.environ", "Enter your password: ", "aaaaaaaaaaaa", "~/.ssh/id_rsa"],
+)
+def test_references_are_none(value):
+    assert secrets.find_secrets(f'password = "{value}"') == []
+    assert secrets.find_secrets("token = os.getenv('TOKEN')\nsecret=getpass('prompt: ')") == []
+
+
+def test_strings_without_a_name():
+    found = lambda s: [k for *_, k in secrets.find_secrets(s)]
+    assert found('x = ["kJ8dh2KLm9QwErTy7Zx1", 4]') == ["token"] and found('call("Zx8!kLm2-Qp9@vB4nT6yU")') == ["token"]
+    assert found('call("AAAAAAAAAAbbbbbbbbbb1111")') == [] and found('x = "some-long-name-with-words-9"') == []
+    # The entropy test alone parts these two.
+    assert secrets.random_enough("kJ8dh2KLm9QwErTy7Zx1", "free") and not secrets.random_enough("kJ8kJ8kJ8kJ8kJ8kJ8kJ8", "free")
+
+
 def test_secret_rows(spark):
     df = spark.createDataFrame([(1, "TOKEN=abcd1234efgh", None, 5), (2, None, "", 5)], "turn_id bigint, text string, detail string, kinds int")
     assert [(r.turn_id, r.field_name, r.redacted) for r in secrets.secret_fields(df, "turn_id", ["text", "detail"], redact=True).collect()] == [(1, "text", "TOKEN=[REDACTED:named]")]
@@ -143,6 +168,11 @@ def test_long_secrets_are_found_whole():
         redacted, kinds = secrets.redact_text(text)
         assert kinds and secret[-40:] not in redacted and secret[:40] not in redacted, text[:40]
         assert len(redacted) < 100
+    for n in (2_500, 100_000):
+        value = draw(n, string.ascii_letters + string.digits)
+        for text in (f"API_KEY={value}", f'{{"apiKey": "{value}"}}', f"x = '{value}'", f"curl -u me:{value} https://x.invalid"):
+            redacted, kinds = secrets.redact_text(text)
+            assert kinds and value[:9] not in redacted and value[-9:] not in redacted, (n, text[:20])
     lines = "\n".join(draw(64, "ABCDEFGHabcdefgh0123456789+/") for _ in range(500))
     redacted, kinds = secrets.redact_text(f"{lines}\n-----END RSA PRIVATE KEY-----\nx = 1")
     assert kinds == ["private_key"] and len(redacted) < 100 and redacted.endswith("x = 1")
