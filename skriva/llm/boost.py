@@ -74,11 +74,9 @@ def _grow(binned: np.ndarray, cuts: list[np.ndarray], g: np.ndarray, h: np.ndarr
     return Tree(feature, cut, value, depth), leaf
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.2, l2: float = 1.0, bins: int = 32, holdout: float = 0.25, seed: int = 7) -> Boosted:
-    """Boosted trees by the logistic loss, calibrated on the held-out share of the rows. Deterministic."""
-    order = np.random.default_rng(seed).permutation(len(y))
-    cal, tr = order[: int(len(y) * holdout)], order[int(len(y) * holdout) :]
-    xt, yt = x[tr].astype(float), y[tr].astype(float)
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.2, l2: float = 1.0, bins: int = 32, held: tuple[np.ndarray, np.ndarray] | None = None) -> Boosted:
+    """Boosted trees by the logistic loss, calibrated on `held`, rows and labels set apart. Deterministic."""
+    xt, yt = x.astype(float), y.astype(float)
     cuts = []
     for j in range(x.shape[1]):
         values = np.unique(xt[:, j])
@@ -94,8 +92,8 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: flo
         tree.value = tree.value * rate
         model.trees.append(tree)
         score += tree.value[leaf]
-    if len(cal) > 20:
-        _calibrate(model, model.raw(x[cal].astype(float)), y[cal].astype(float))
+    if held is not None and len(held[1]) > 20:
+        _calibrate(model, model.raw(held[0].astype(float)), held[1].astype(float))
     return model
 
 

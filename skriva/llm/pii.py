@@ -4,7 +4,8 @@ Generators propose spans with high recall, overlapping and of several types at o
 format and its context; per type, a calibrated threshold selects; of overlapping selected spans the most probable stays.
 
 There are no labelled rows for this problem, so the trees learn from `TRAIN_SNIPPETS` labelled snippets that
-`pii_snippets` writes with invented values. Training happens once on the driver; the model is some ten kilobytes.
+`pii_snippets` writes with invented values in frames of its own; probabilities and thresholds are calibrated on snippets
+of other frames. Training happens once on the driver; the model is some ten kilobytes.
 
 One pass over the rows, no shuffle, whole texts. Null and empty texts hold nothing and stay as they are.
 """
@@ -20,11 +21,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from skriva.llm import boost
+from skriva.llm import boost, pii_snippets
 
 TYPES = ("email", "phone", "idnumber", "address", "name")
 #: Bound on the labelled snippets that the trees learn from.
-TRAIN_SNIPPETS = 6000
+TRAIN_SNIPPETS = 9000
+#: And on those that calibrate it.
+CALIBRATION_SNIPPETS = 3000
 #: Bound on the names that are sent to every task.
 MAX_NAMES = 200_000
 
@@ -39,11 +42,14 @@ _DIGITS = re.compile(r"(?<![\w.\-/:])(?:\+|\()?\d[\d ().\-]{5,24}\d(?![\w])(?:,?
 _ID = [
     re.compile(p)
     for p in (
-        r"\b[A-Z]{2}\d{2} ?(?:[A-Z0-9]{4} ?){2,7}[A-Z0-9]{1,4}\b",
+        r"(?<![\w/+=\-])[A-Z]{2}\d{2} ?(?:[A-Z0-9]{4} ?){2,7}[A-Z0-9]{1,4}(?![\w/+=])",
         r"(?<![\w.\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
-        r"\b(?=[A-Z0-9]{7,18}\b)[A-Z]{1,6}\d{5,9}[A-Z0-9]{0,5}\b",
+        r"(?<![\w/+=\-])(?=[A-Z0-9]{7,18}\b)[A-Z]{1,6}\d{5,9}[A-Z0-9]{0,5}(?![\w/+=])",
         r"\b[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]\b",
         r"\b[A-Z]{2} [A-Z0-9]{2}(?: [A-Z0-9]{4}){3,7}\b",
+        r"(?<![\w.\-])\d{3}\.\d{3}\.\d{3}-\d{2}(?![\w\-])",
+        r"(?<![\w.\-])\d{6,8}-?[A-Z\d]{1,4}(?![\w\-])",
+        r"(?<![\w/+=\-])(?=[A-Z]*\d[A-Z\d]*\d[A-Z\d]*\d)[A-Z][A-Z0-9]{7,9}(?![\w/+=\-])",
     )
 ]
 # Words of streets.
@@ -65,20 +71,22 @@ _ADDRESS = [
             r"\b[A-ZÄÖÜ][\wäöüß\-]*(?:weg|straße|strasse|str\.|gasse|platz|allee|ring|damm|ufer|stieg|pfad|[ \-](?:Weg|Straße|Allee|Platz)) \d{1,4} ?[a-z]?\b(?:, \d{5} [A-ZÄÖÜ][\wäöüß]+)?",
         ),
         (("box", "postfach", "私書箱", "b.p.", "apartado"), r"(?i)\b(?:p\. ?o\. ?box|po box|post office box|postfach|b\.p\.|apartado) ?\d{1,6}\b(?:, [\w]+)?|私書箱 ?\d+"),
-        (("〒", "県", "都", "府", "道", "市", "区"), r"(?:〒 ?)?\d{3}-\d{4} ?[一-鿿ぁ-んァ-ヶー]{2,}[\d一二三四五六七八九十丁目番地号の\-]*|[一-鿿]{1,5}[都道府県][一-鿿ぁ-んァ-ヶー]{1,12}?[市区町村郡][一-鿿ぁ-んァ-ヶー]{1,14}\d+(?:-\d+){1,3}"),
+        (("〒", "県", "都", "府", "道", "市", "区"), r"(?:〒 ?|(?<![\d\-]))\d{3}-\d{4} ?[一-鿿]{2,}[一-鿿ぁ-んァ-ヶー]*[\d一二三四五六七八九十丁目番地号の\-]*|[一-鿿]{1,5}[都道府県][一-鿿ぁ-んァ-ヶー]{1,12}?[市区町村郡][一-鿿ぁ-んァ-ヶー]{1,14}\d+(?:-\d+){1,3}"),
     )
 ]
-_TOKEN = r"[A-ZÀ-Ý][a-zß-ÿ]+(?:-[A-ZÀ-Ý][a-zß-ÿ]+)?"
+# Latin letters of names.
+_UP, _LOW = "A-ZÀ-ÖØ-ÞČĐĘŁŃŚŞŠŹŻŽİ", "a-zß-öø-ÿāăąćčđēęěğīıłńňőœřśşšťūůűźżž"
+_TOKEN = rf"[{_UP}][{_LOW}]+(?:-[{_UP}][{_LOW}]+)?"
 _NAME = [
     re.compile(p)
     for p in (
         rf"\b(?P<v>{_TOKEN},? (?:[A-Z]\.? )?{_TOKEN})\b(?!\w)",
         rf"(?<!\w)(?P<v>(?:[A-Z]\. ?){{1,2}}{_TOKEN})\b",
-        rf"\b(?:Dr|Mr|Mrs|Ms|Prof|Sir|Frau|Herr|Mme|Mlle|Monsieur|Madame)\.? (?P<v>{_TOKEN}(?: {_TOKEN})?)\b",
-        r"\b(?P<v>[A-ZÀ-Ý]{3,} [A-ZÀ-Ý]{3,})\b",
-        r"(?:-by|author|assignee|owner|reviewer|reporter|contact|attn|from|to|cc|name|kontakt|ansprechpartner)[\"']?\s?[:=]\s?[\"']?(?P<v>[a-zà-ÿ]{2,}(?: [a-zà-ÿ]\.?)? [a-zà-ÿ]{2,})\b(?!@)",
-        r"(?:氏名|名前|担当者?|宛名|署名者)\s?[:：は]?\s?(?P<v>[一-鿿ァ-ヶー]{1,8}[ ・][一-鿿ァ-ヶー]{1,8})",
-        r"(?P<v>[ァ-ヶー]{2,8}(?:[ ・][ァ-ヶー]{2,8})?)(?=さん|様|氏|君|ちゃん|先生|殿)",
+        rf"\b(?:Dr|Mr|Mrs|Ms|Miss|Prof|Sir|Lady|Frau|Herr|Mme|Mlle|Monsieur|Madame|Sr|Sra|Srta|Señora?|Signora?|Dott)\.? (?P<v>{_TOKEN}(?: {_TOKEN})?)\b",
+        rf"\b(?P<v>[{_UP}]{{3,}} [{_UP}]{{3,}})\b",
+        rf"(?:-by|author|assignee|owner|reviewer|reporter|contact|attn|from|to|cc|name|kontakt|ansprechpartner)[\"']?\s?[:=]\s?[\"']?(?P<v>[{_LOW}]{{2,}}(?: [{_LOW}]\.?)? [{_LOW}\-]{{2,}})\b(?!@)",
+        r"(?:氏名|名前|担当者?|宛名|署名者)\s?[:：は]?\s?(?P<v>[一-鿿ァ-ヶー]{1,8}[ ・]?[一-鿿ァ-ヶー]{1,8})",
+        r"(?P<v>(?:[ァ-ヶー]{2,8}(?:[ ・][ァ-ヶー]{2,8})?)|(?:[一-鿿]{2,3}[ ・]?[一-鿿]{1,3}))(?=さん|様|氏|君|ちゃん|先生|殿)",
         r"(?P<v>[ァ-ヶー]{2,8}[ ・][ァ-ヶー]{2,8})",
     )
 ]
@@ -87,19 +95,22 @@ _CAPS = re.compile(r"[A-Z]{3,} [A-Z]{3,}")
 #: Words near a span, by what they speak for; matched in the 32 characters before and the 20 after it.
 # Fixed values.
 _LEFT = {
-    "phone": r"tel|phone|call|fax|mobil|cell|電話|携帯|連絡先|rückruf|ruf |rufnummer|on-call|ring|durchwahl|dial|sms",
-    "id": r"iban|passport|ssn|social security|licen[cs]e|nino|insurance|\btax|\btin\b|card|steuer|ausweis|personal\w*nummer|マイナンバー|免許|旅券|保険|口座|カード|本人確認|\bno\.|account|identi|versicherung|national|konto",
-    "address": r"address|adresse|\baddr\b|住所|anschrift|zustell|ship|deliver|lives? (?:at|in)|send|post|mail to|宛先|お届け|wohn|visit",
-    "name": r"name|氏名|担当|-by|\bdr\b|\bmrs?\b|\bms\b|frau|herr|prof|author|talk|speak|asked?|from|reviewer|assignee|contact|dear|kontakt|owner",
-    "email": r"mail|contact|write|reporter|cc|to:|from|連絡先|メール|kontakt|email|reply",
-    "no": r"\b(?:job|offset|row|rows|line|build|version|release|port|took|code|commit|id|ticket|issue|pid|seq|page|limit|size|bytes|count|of|step|batch|status|took|hash|in|no|duration|after)[ =:#]*$",
-    "repo": r"git clone|\bssh |scp |rsync|://|remote|docker|npm|pip |install|sftp|pinned|@$|login",
-    "the": r"\b(?:the|a|an|der|die|das|our|this|that|der)\s$",
+    "phone": r"\btel|phone|fon\b|\bcall(?:s|ed|ing)?\b(?!/)|\bfax|mobil|\bcell|handy|電話|携帯|連絡先|\bruf|anruf|rückruf|rufnummer|on-call|\bring\b|durchwahl|dial|\bsms\b|hotline|número|numéro|appel|llam|unter $",
+    "id": r"iban|passport|reisepass|pasaporte|passeport|\bssn\b|social security|licen[cs]e|\bnino\b|insurance|\btax|\btin\b|itin|card|steuer|ausweis|personal\w*nummer|personnummer|マイナンバー|免許|旅券|保険|口座|カード|本人|確認|\bno\.|account|identi|versicherung|national|konto|\bcpf\b|\bnhs\b|aadhaar|\bdni\b|\bnif\b|pesel|\bid\b.{0,12}$",
+    "address": r"address|adresse|\baddr\b|住所|anschrift|zustell|liefer|lieferung|ship|deliver|lives? (?:at|in)|\bsend|post|mail to|宛先|届け|送付|送り先|wohn|visit|dirección|return|sitz",
+    "name": r"name|氏名|担当|-by|\bdr\b|\bmrs?\b|\bms\b|frau|herr|prof|author|asked?|from|reviewer|assignee|assigned|contact|dear|kontakt|owner|thanks|signed|\bsra?\b|\bmme\b|monsieur|señor|met $|spoke with",
+    "email": r"mail|contact|write|writ|reporter|reported|cc|to:|from|連絡先|メール|問い合わせ|kontakt|reply|sender|user|author|owner|notify",
+    "no": r"\b(?:job|offset|row|rows|line|build|version|release|port|took|code|commit|id|ticket|issue|pid|seq|page|limit|size|bytes|count|of|step|batch|status|hash|in|no|duration|after|order|parcel|range|chunk|serial|part|ean)[ =:#]*$",
+    "repo": r"git clone|\bssh |scp |rsync|://|remote|docker|npm|pip |install|sftp|pinned|requires|@$|login",
+    "the": r"\b(?:the|a|an|der|die|das|our|this|that)\s$",
+    "to": r"\b(?:to|with|by|ask|asked|met|meet|thanks|from|for|mit|von|bei|frag|an)\s$",
+    "title": r"\b(?:dr|mr|mrs|ms|prof|herr|frau|sra?|mme|monsieur|miss)\.? $",
 }
 _RIGHT = {
     "no": r"^\s?(?:ms\b|s\b|px|rows|of (?:the|\d)|took|lines|bytes|kb|mb|at \d|[|\t])",
-    "person": r"^\s?(?:さん|様|氏|君|先生|asked|signed|said|wrote|wants|reviewed|approved|reported|called|will|has|hat |sagt|schrieb|told|left|fixed|<|about|hat\b|und|より|が|です|, )",
-    "thing": r"^\s(?:theme|scheduler|cache|module|server|service|release|engine|driver|mode|color|colour|build|branch|cluster|release|index|plugin|queue|worker|node|api|daemon|model|framework|library|inc|ltd|gmbh|corp|llc|co\b|as|and the|is|was|edition|palette)",
+    "honorific": r"^\s?(?:さん|様|氏|君|先生|殿|ちゃん)",
+    "person": r"^,? (?:asks?|asked|sign(?:s|ed)|says?|said|writes?|wrote|wants?|review(?:s|ed)|approve[sd]|report(?:s|ed)|call(?:s|ed)|will|would|has|had|hat|sagt|schrieb|told|tells|left|fixe[sd]|confirmed|complained|who|bestätigt|und|and [A-Z]|about|before|first|llamó|est|no)\b|^\s?[<(]",
+    "thing": r"^\s(?:theme|mode|colou?r|px|inc|ltd|gmbh|corp|llc|ag\b|release[ds]?\b|edition|palette|is|was|\d)",
     "path": r"^(?::[\w~/]|/)",
     "json": r"^[\"']",
 }
@@ -108,6 +119,25 @@ _RIGHT_RX = [re.compile(p) for p in _RIGHT.values()]
 _IP = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}")
 _POST = re.compile(r"\b\d{5}\b|〒|\d{3}-\d{4}")
 _GROUP = re.compile(r"\d+")
+_NOT_ALNUM = re.compile(r"[^A-Za-z0-9]")
+
+
+def check_digits(v: str) -> bool:
+    """Does the number end or begin with the right check digits of a bank account, a card or a national number?"""
+    s = _NOT_ALNUM.sub("", v).upper()
+    if len(s) >= 15 and s[:2].isalpha() and s[2:4].isdigit() and s.isascii():
+        return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+    if not (s.isascii() and s.isdigit()):
+        return False
+    if 13 <= len(s) <= 19:
+        return sum(sum(divmod(int(c) * 2, 10)) if i % 2 else int(c) for i, c in enumerate(reversed(s))) % 10 == 0
+    if len(s) == 11:
+        one = sum(int(c) * (10 - i) for i, c in enumerate(s[:9])) * 10 % 11 % 10
+        two = sum(int(c) * (11 - i) for i, c in enumerate(s[:10])) * 10 % 11 % 10
+        return (one, two) == (int(s[9]), int(s[10]))
+    if len(s) == 10:
+        return sum(int(c) * (10 - i) for i, c in enumerate(s)) % 11 == 0
+    return False
 
 
 @dataclass(frozen=True)
@@ -118,12 +148,14 @@ class Names:
     family: frozenset[str]
     triples: frozenset[str]
     exact: frozenset[str]
+    common: frozenset[str]
 
     @staticmethod
     def of(rows: list[tuple[str, str]]) -> Names:
         given = frozenset(n.lower() for n, t in rows if n and t == "given")
         family = frozenset(n.lower() for n, t in rows if n and t != "given")
-        return Names(given, family, frozenset(t for n in given | family for t in _triples(n)), frozenset(n for n, _ in rows if n))
+        common = frozenset(n.lower() for n in pii_snippets.GIVEN + pii_snippets.FAMILY + pii_snippets.KANJI_FAMILY + pii_snippets.KANJI_GIVEN)
+        return Names(given, family, frozenset(t for n in given | family | common for t in _triples(n)), frozenset(n for n, _ in rows if n), common)
 
 
 def _triples(word: str) -> list[str]:
@@ -161,7 +193,7 @@ def candidates(s: str, names: Names) -> tuple[str, list[tuple[int, int, str]]]:
         # Places in `low` are those in `s` unless lowering changed a length.
         seen.update(m.span("v") for m in _NAME[4].finditer(low if len(low) == len(s) else s))
     for m in _WORD.finditer(s):
-        if m[0] in names.exact or s[max(0, m.start() - 7) : m.start()].lower().endswith(_SPOKEN_TO):
+        if m[0] in names.exact or m[0].lower() in names.common or s[max(0, m.start() - 7) : m.start()].lower().endswith(_SPOKEN_TO):
             seen.add(m.span())
     out += [(a, b, "name") for a, b in seen]
     return s, out
@@ -172,8 +204,10 @@ _ANY_DIGIT = re.compile(r"\d")
 # Words before a person who is spoken of by one name.
 _SPOKEN_TO = ("talk to ", "k to ", "e to ", "n to ", "to ", "with ", "by ", "ask ", "asked ", "met ", "thanks ", "from ", "for ", "mit ", "von ", "bei ", "frag ")
 #: A word that may be a name by itself.
-_WORD = re.compile(r"\b[A-ZÀ-Ý][a-zß-ÿ]+\b|[ァ-ヶー]{2,12}|[一-鿿]{1,4}")
-_SPLIT = re.compile(r"[\s,.・\"']+")
+_WORD = re.compile(rf"\b[{_UP}][{_LOW}]+\b|[ァ-ヶー]{{2,12}}|[一-鿿]{{1,4}}")
+_SPLIT = re.compile(r"[\s,.・\"'\-]+")
+#: Words of the training frames that are no names: what a title or a product is made of.
+_ORDINARY = frozenset(w.lower() for f in pii_snippets.FRAMES + pii_snippets.FILLERS for w in re.findall(r"[A-Za-z]{2,}", re.sub(r"\{\w+\}", " ", f))) | frozenset(w for x in pii_snippets._FILL.values() for w in x)
 
 
 def features(s: str, a: int, b: int, kind: str, names: Names) -> list[float]:
@@ -192,7 +226,7 @@ def features(s: str, a: int, b: int, kind: str, names: Names) -> list[float]:
     f += [len(v), digits, len(groups), groups[0] if groups else 0, groups[-1] if groups else 0, max(groups, default=0)]
     f += [letters, sum(map(str.isupper, v)) / max(letters, 1), float(v[0] == "0"), float(v[0] in "+("), float("-" in v), float(" " in v), float("." in v), float("(" in v)]
     f += [float(prev == "\n"), float(prev in " \t"), float(prev in "\"'<>(["), float(after == "\n"), float(after in "\"'<>)]"), float(after in ",|\t"), float(prev in ",|\t")]
-    f += [float(prev == "\n" and after in ".\n"), float("ext" in v), float(bool(_POST.search(v))), float(bool(_IP.fullmatch(v))), float(prev == "-" or after == "-")]
+    f += [float(prev == "\n" and after in ".\n"), float("ext" in v), float(bool(_POST.search(v))), float(bool(_IP.fullmatch(v))), float(prev == "-" or after == "-"), float(kind == "idnumber" and check_digits(v)), float(groups == [3, 2, 4]), float(len(set(groups)) == 1 and len(groups) > 2), float(v[:2].isupper() and v[2:4].isalnum())]
     if kind == "email":
         domain = re.split(r"@|at\W", v)[-1]
         top = re.split(r"[.\])\s]+", domain.strip(". "))[-1]
@@ -216,12 +250,18 @@ def features(s: str, a: int, b: int, kind: str, names: Names) -> list[float]:
             float(any(ord(c) > 0x3000 for c in v)),
             float("," in v),
             min(map(len, full), default=0),
+            sum(t in names.common for t in lows),
+            sum(t in _ORDINARY for t in lows),
+            float(any(t in names.given and t in _PLAIN for t in lows)),
         ]
     else:
-        f += [0.0] * 11
+        f += [0.0] * 14
     return f
 
 
+_PLAIN = frozenset(n.lower() for n in pii_snippets.PLAIN_NAMES)
+
+
 @dataclass
 class Model:
     trees: boost.Boosted
@@ -253,12 +293,9 @@ class Model:
         return out
 
 
-@lru_cache(maxsize=4)
-def train(names: tuple[tuple[str, str], ...], snippets: int = TRAIN_SNIPPETS) -> Model:
-    """Fit trees and thresholds on generated snippets; `names` are the known (name, type) of the corpus at hand."""
-    from skriva.llm.pii_snippets import snippets as write
-
-    texts, truths, known = write(snippets)
+def _labelled(n: int, which: str, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, labels and types of the spans that the generators propose in `n` snippets of a set of frames."""
+    texts, truths, known = pii_snippets.snippets(n, seed, which)
     lexicon = Names.of(known)
     x, y, kinds = [], [], []
     for s, truth in zip(texts, truths, strict=True):
@@ -266,17 +303,23 @@ def train(names: tuple[tuple[str, str], ...], snippets: int = TRAIN_SNIPPETS) ->
         for a, b, kind in proposed:
             # A part of a true span is personal as well; which span to take is settled by length.
             shared = [(min(b, d) - max(a, c), d - c) for c, d, k in truth if k == kind]
-            inside = any(n >= 0.8 * (b - a) and n >= 0.3 * whole for n, whole in shared)
             x.append(features(plain, a, b, kind, lexicon))
-            y.append(inside)
+            y.append(any(m >= 0.8 * (b - a) and m >= 0.3 * whole for m, whole in shared))
             kinds.append(kind)
-    x_, y_ = np.array(x), np.array(y)
-    trees = boost.fit(x_, y_)
-    order = np.random.default_rng(7).permutation(len(y_))[: int(len(y_) * 0.25)]
-    p, t, k = trees.proba(x_[order]), y_[order], np.array(kinds)[order]
+    return np.array(x), np.array(y), np.array(kinds)
+
+
+@lru_cache(maxsize=4)
+def train(names: tuple[tuple[str, str], ...], snippets: int = TRAIN_SNIPPETS) -> Model:
+    """Fit the trees on snippets, calibrate probabilities and thresholds on snippets of other frames; `names` are the
+    known (name, type) of the corpus at hand."""
+    x, y, _ = _labelled(snippets, "train", 11)
+    held_x, held_y, kinds = _labelled(CALIBRATION_SNIPPETS, "calibrate", 12)
+    trees = boost.fit(x, y, held=(held_x, held_y))
+    p = trees.proba(held_x)
     thresholds = {}
     for kind in TYPES:
-        q, z = p[k == kind], t[k == kind]
+        q, z = p[kinds == kind], held_y[kinds == kind]
         steps = np.arange(0.2, 0.81, 0.05)
         f1 = [2 * (z & (q >= c)).sum() / max(1, z.sum() + (q >= c).sum()) for c in steps]
         # The middle of the best plateau.
