@@ -1,14 +1,20 @@
 """Evaluation texts leaking into training text.
 
 A document leaks an item if they share a run of `WORDS` words (items in Japanese: of `CHARS` characters). Runs are
-shingles, so this is containment search of short items in long documents.
+shingles, so this is containment search of short items in long documents: by MinHash in size classes, then verified.
 
-Items are put into size classes by their number of shingles. Each class has a MinHash sketch at a fixed rate (a shingle
-is kept if its hash is below the rate's share of all hashes): the larger the overlap that counts, the lower the rate that
-still finds it. Where one shared shingle counts, as by default, every class has rate 1 and nothing can be missed; a sketch
-of a fixed number of hashes in bands can't find one shingle of a long document at all. Documents are looked through once: a
-shingle leaves its task only if its hash is in a bitmap of the items' sketches, whose size is fixed. The few that
-pass are joined with the items on hash and text, which is the exact check of containment.
+A MinHash of a whole long document can't show one run of it, so the sketch of a text is the set of the MinHashes of its
+runs: the least hash among the parts of a run (`PARTS` words or characters in a row). Neighbouring runs mostly have the same
+least part, so a sketch holds about a fifth of a text's hashes; and equal runs have the same MinHash, so a text that holds
+a run of an item always holds its MinHash: nothing is missed. One least part serves at most as many runs as a run has
+parts. A document that holds m of an item's runs therefore holds at least m / parts of its sketch, rounded up.
+
+Items are put into classes by their number of runs, in powers of two. Each class has a bitmap of the sketches of its items,
+and the least overlap of sketches that the smallest item of the class may have: `min_share` of its runs, one at least.
+Documents are looked through once, by words and by characters in the same pass. In a task a document is a candidate in the
+classes whose overlap it reaches, and of a candidate those runs go on whose MinHash is in the class's bitmap and whose own
+hash is in the bitmap of all items' runs. Both bitmaps have a fixed size. What goes on is joined with the items on hash
+and text, which is the exact check of containment.
 
 Null texts, and texts and items shorter than a run, share nothing. Repeated rows count once.
 """
@@ -24,11 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skriva.session import cut
+
 WORDS, CHARS = 12, 20
-#: Hashes of a sketch that an overlap which counts must hold on average: it is missed once in e^32 times.
-KEPT = 32
-#: Bits of the bitmap that goes to every task, as a power of two: 8 MB.
-BITS = 26
+#: Words or characters in a part of a run.
+PARTS = {"w": 4, "c": 8}
+#: Bits of the bitmap of a class of sketches, and of the one of all runs, as powers of two: 0.5 MB and 8 MB.
+SKETCH_BITS, RUN_BITS = 22, 26
 #: Characters of the texts that are worked on at once; one longer text goes alone.
 AT_ONCE = 500_000
 
@@ -43,34 +51,60 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _rolled(codes: np.ndarray, owner: np.ndarray, k: int, mode: str) -> tuple[np.ndarray, np.ndarray]:
-    """Where in the joined codes of many texts a run of k lies within one text, and its hash."""
+def _rolled(codes: np.ndarray, k: int, base: np.uint64) -> np.ndarray:
+    """The hash of every k codes in a row."""
     n = len(codes) - k + 1
-    if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
     h = np.zeros(n, np.uint64)
     for i in range(k):
-        h = h * _BASE[mode] + codes[i : i + n]
-    at = np.flatnonzero(owner[:n] == owner[k - 1 :])
-    return at, _mix(h[at])
-
-
-def runs(texts: list[str], mode: str, k: int) -> tuple[np.ndarray, np.ndarray, list, np.ndarray]:
-    """The runs of all texts: their places, hashes, what they are cut from, and the text each place belongs to."""
-    if mode == "w":
-        found = [_WORD.findall(s.lower()) for s in texts]
-        units: list = [w for f in found for w in f]
-        place: dict[str, int] = {}
-        codes = np.fromiter((place.setdefault(w, len(place)) for w in units), np.int64, len(units))
-        hashes = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in place], np.uint64)
-        codes = hashes[codes] if len(units) else np.empty(0, np.uint64)
-    else:
-        found = [_OTHER.sub("", s.lower()) for s in texts]
-        units = "".join(found)
-        codes = np.frombuffer(units.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    owner = np.repeat(np.arange(len(texts)), [len(f) for f in found])
-    at, h = _rolled(codes, owner, k, mode)
-    return at, h, units, owner
+        h = h * base + codes[i : i + n]
+    return _mix(h)
+
+
+def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
+    """The least of every `width` values in a row, in log2(width) passes."""
+    n = len(h) - width + 1
+    step, m = 1, h
+    while 2 * step <= width:
+        m = np.minimum(m[: len(m) - step], m[step:])
+        step *= 2
+    return np.minimum(m[:n], m[width - step : width - step + n])
+
+
+class Runs:
+    """The runs of k words ('w') or characters ('c') of many texts: place, MinHash and text each belongs to."""
+
+    def __init__(self, texts: list[str], mode: str, k: int):
+        self.mode, self.k = mode, k
+        low = [s.lower() for s in texts]
+        if mode == "w":
+            found = [_WORD.findall(s) for s in low]
+            self.units: list | str = [w for f in found for w in f]
+            place: dict[str, int] = {}
+            at = np.fromiter((place.setdefault(w, len(place)) for w in self.units), np.int64, len(self.units))
+            hashes = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in place], np.uint64)
+            self.codes = hashes[at] if len(at) else np.empty(0, np.uint64)
+        else:
+            found = [_OTHER.sub("", s) for s in low]
+            self.units = "".join(found)
+            self.codes = np.frombuffer(self.units.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        owner = np.repeat(np.arange(len(texts)), [len(f) for f in found])
+        part = min(PARTS[mode], k)
+        if len(self.codes) < k:
+            self.at, self.minhash, self.owner = np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
+            return
+        least = sliding_min(_rolled(self.codes, part, _BASE[mode]), k - part + 1)
+        self.at = np.flatnonzero(owner[: len(least)] == owner[k - 1 :])
+        self.minhash, self.owner = least[self.at], owner[self.at]
+
+    def hashes(self, at: np.ndarray) -> np.ndarray:
+        """The hashes of the whole runs at these places."""
+        h = np.zeros(len(at), np.uint64)
+        for i in range(self.k):
+            h = h * _BASE[self.mode] + self.codes[at + i]
+        return _mix(h)
+
+    def texts(self, at: np.ndarray) -> list[str]:
+        return [" ".join(self.units[i : i + self.k]) if self.mode == "w" else self.units[i : i + self.k] for i in at.tolist()]
 
 
 def _groups(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str]]]:
@@ -85,39 +119,90 @@ def _groups(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str]]]:
         yield batch.column(0).slice(begin), texts[begin:]
 
 
-def shingles(df: DataFrame, key: str, text: str, mode: str, k: int, bitmap: np.ndarray | None = None) -> DataFrame:
-    """key, hash, run: the distinct runs of k words ('w') or characters ('c') of each text; with a bitmap, those in it."""
-    shared = None if bitmap is None else df.sparkSession.sparkContext.broadcast(bitmap)
-    mask = np.uint64(2**BITS - 1)
+def item_runs(items: DataFrame, key: str, text: str, mode: str, k: int) -> DataFrame:
+    """key, mode, minhash, hash, run: the distinct runs of each item."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = None if shared is None else shared.value
         for batch in batches:
             for keys, texts in _groups(batch):
-                at, h, units, owner = runs(texts, mode, k)
-                if bits is not None and len(h):
-                    low = h & mask
-                    hit = (bits[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                    at, h = at[hit], h[hit]
-                if not len(at):
-                    continue
-                _, first = np.unique(np.stack([owner[at].astype(np.uint64), h]), axis=1, return_index=True)
-                at, h = at[first], h[first]
-                text_of = [" ".join(units[i : i + k]) if mode == "w" else units[i : i + k] for i in at.tolist()]
-                yield pa.RecordBatch.from_pydict({key: keys.take(pa.array(owner[at], pa.int64())), "hash": pa.array(h.view(np.int64)), "run": pa.array(text_of, pa.string())})
-
-    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, hash bigint, run string"
-    return df.select(key, text).where(F.col(text).isNotNull() & F.col(key).isNotNull()).mapInArrow(go, schema)
-
-
-def sketch_bitmap(sketches: DataFrame) -> np.ndarray:
-    """The bitmap of the hashes in `sketches`. Its words are put together by the cluster; it has 2^BITS bits, always."""
-    low = f"(hash & {2**BITS - 1})"
-    words = sketches.select(F.expr(f"shiftright({low}, 6)").alias("i"), F.expr(f"shiftleft(1L, cast({low} & 63 AS int))").alias("b"))
-    rows = words.groupBy("i").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(2 ** (BITS - 6), np.int64)
-    out[rows.column("i").to_numpy()] = rows.column("b").to_numpy()
-    return out.view(np.uint8)
+                runs = Runs(texts, mode, k)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        key: keys.take(pa.array(runs.owner, pa.int64())),
+                        "mode": pa.array([mode] * len(runs.at), pa.string()),
+                        "minhash": pa.array(runs.minhash.view(np.int64)),
+                        "hash": pa.array(runs.hashes(runs.at).view(np.int64)),
+                        "run": pa.array(runs.texts(runs.at), pa.string()),
+                    }
+                )
+
+    schema = f"`{key}` {items.schema[key].dataType.simpleString()}, mode string, minhash bigint, hash bigint, run string"
+    return items.select(key, text).where(F.col(text).isNotNull() & F.col(key).isNotNull()).mapInArrow(go, schema).distinct()
+
+
+def _bitmaps(rows: DataFrame, group: list[str], column: str, bits: int) -> dict[tuple, np.ndarray]:
+    """A bitmap of 2^bits bits of the column's hashes per group. Its words are put together by the cluster."""
+    low = f"({column} & {2**bits - 1})"
+    words = rows.select(*group, F.expr(f"shiftright({low}, 6)").alias("_i"), F.expr(f"shiftleft(1L, cast({low} & 63 AS int))").alias("_b"))
+    rows_ = words.groupBy(*group, "_i").agg(F.bit_or("_b").alias("_b")).toArrow()
+    keys = list(zip(*(rows_.column(g).to_pylist() for g in group), strict=True)) if group else [()] * rows_.num_rows
+    place, word = rows_.column("_i").to_numpy(), rows_.column("_b").to_numpy()
+    out = {}
+    for k in set(keys):
+        mine = np.fromiter((x == k for x in keys), bool, len(keys))
+        out[k] = np.zeros(2 ** (bits - 6), np.int64)
+        out[k][place[mine]] = word[mine]
+    return {k: v.view(np.uint8) for k, v in out.items()}
+
+
+def _has(bitmap: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    low = h & np.uint64(2**bits - 1)
+    return (bitmap[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def candidate_runs(documents: DataFrame, key: str, text: str, sizes: dict[str, int], sketches: dict[tuple, np.ndarray], least: dict[tuple, int], whole: np.ndarray) -> DataFrame:
+    """key, mode, hash, run: of each document those runs that may be an item's; one pass for both modes.
+
+    `sketches` and `least`: per (mode, class) the bitmap, and how many of its MinHashes a candidate must hold.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast((sketches, whole))
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maps, all_runs = shared.value
+        for batch in batches:
+            for keys, texts in _groups(batch):
+                for mode, k in sizes.items():
+                    own = [(c, m) for c, m in maps.items() if c[0] == mode]
+                    if not own:
+                        continue
+                    runs = Runs(texts, mode, k)
+                    wanted = np.zeros(len(runs.at), bool)
+                    for c, m in own:
+                        hit = np.flatnonzero(_has(m, runs.minhash, SKETCH_BITS))
+                        if least[c] > 1 and len(hit):
+                            # Different MinHashes of the class per document.
+                            pairs = np.unique(np.stack([runs.owner[hit].astype(np.uint64), runs.minhash[hit]]), axis=1)
+                            enough = np.bincount(pairs[0].astype(np.int64), minlength=len(texts)) >= least[c]
+                            hit = hit[enough[runs.owner[hit]]]
+                        wanted[hit] = True
+                    at, owner = runs.at[wanted], runs.owner[wanted]
+                    h = runs.hashes(at)
+                    good = _has(all_runs, h, RUN_BITS)
+                    at, owner, h = at[good], owner[good], h[good]
+                    if not len(at):
+                        continue
+                    _, first = np.unique(np.stack([owner.astype(np.uint64), h]), axis=1, return_index=True)
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            key: keys.take(pa.array(owner[first], pa.int64())),
+                            "mode": pa.array([mode] * len(first), pa.string()),
+                            "hash": pa.array(h[first].view(np.int64)),
+                            "run": pa.array(runs.texts(at[first]), pa.string()),
+                        }
+                    )
+
+    schema = f"`{key}` {documents.schema[key].dataType.simpleString()}, mode string, hash bigint, run string"
+    return documents.select(key, text).where(F.col(text).isNotNull() & F.col(key).isNotNull()).mapInArrow(go, schema)
 
 
 def find_leaks(
@@ -132,33 +217,25 @@ def find_leaks(
     words: int = WORDS,
     chars: int = CHARS,
 ) -> DataFrame:
-    """doc, item, shared (distinct shared shingles), containment (share of the item's shingles): one row per leak.
+    """doc, item, shared (distinct shared runs), containment (share of the item's runs): one row per leak.
 
-    An overlap counts from one shingle, or from `min_share` of the item's shingles if that is more.
+    An overlap counts from one run, or from `min_share` of the item's runs if that is more.
     """
     japanese = F.coalesce(F.lower(F.col(lang)).startswith("ja"), F.lit(False))
-    found = []
-    for mode, k, wanted in (("w", words, ~japanese), ("c", chars, japanese)):
-        whole = shingles(items.where(wanted), item_key, item_text, mode, k).distinct()
-        sizes = whole.groupBy(item_key).agg(F.count("*").alias("size"))
-        sizes = sizes.withColumn("needed", F.greatest(F.lit(1), F.ceil(F.col("size") * min_share)))
-        if min_share <= 0:
-            sketches, sampled = whole, False
-        else:
-            # The rate of a size class is set by the least overlap that counts in it.
-            least = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), F.floor(F.log2("size"))) * min_share)
-            rate = F.least(F.lit(1.0), F.lit(float(KEPT)) / least)
-            part = F.shiftrightunsigned("hash", 11) / F.lit(float(2**53))
-            sketches, sampled = whole.join(sizes.select(item_key, rate.alias("rate")), item_key).where(part < F.col("rate")).drop("rate"), True
-        on = ["hash", "run"]
-        hits = shingles(documents, doc_key, doc_text, mode, k, sketch_bitmap(sketches)).join(sketches, on)
-        if sampled:
-            # A second look, at the candidates only, with all shingles.
-            pairs = hits.select(doc_key, item_key).distinct()
-            near = documents.join(pairs.select(doc_key).distinct(), doc_key, "left_semi")
-            close = whole.join(pairs.select(item_key).distinct(), item_key, "left_semi")
-            hits = shingles(near, doc_key, doc_text, mode, k, sketch_bitmap(close)).join(close, on)
-        counts = hits.distinct().groupBy(doc_key, item_key).agg(F.count("*").alias("shared"))
-        leaks = counts.join(sizes, item_key).where(F.col("shared") >= F.col("needed"))
-        found.append(leaks.select(doc_key, item_key, "shared", (F.col("shared") / F.col("size")).alias("containment")))
-    return found[0].unionByName(found[1])
+    lengths = {"w": words, "c": chars}
+    found = item_runs(items.where(~japanese), item_key, item_text, "w", words).unionByName(item_runs(items.where(japanese), item_key, item_text, "c", chars))
+    runs = cut(found)
+    sizes = runs.groupBy(item_key).agg(F.countDistinct("hash", "run").alias("size"))
+    classed = runs.join(sizes.select(item_key, F.floor(F.log2("size")).cast("int").alias("class")), item_key)
+    sketches = _bitmaps(classed, ["mode", "class"], "minhash", SKETCH_BITS)
+    whole = _bitmaps(runs, [], "hash", RUN_BITS).get((), np.zeros(2 ** (RUN_BITS - 3), np.uint8))
+    least = {}
+    for mode, c in sketches:
+        parts = lengths[mode] - min(PARTS[mode], lengths[mode]) + 1
+        needed = max(1, int(np.ceil(2**c * min_share - 1e-9)))
+        least[mode, c] = -(-needed // parts)
+    hits = candidate_runs(documents, doc_key, doc_text, lengths, sketches, least, whole)
+    item = runs.select(item_key, "mode", "hash", "run").distinct()
+    counts = hits.join(item, ["mode", "hash", "run"]).select(doc_key, item_key, "hash", "run").distinct().groupBy(doc_key, item_key).agg(F.count("*").alias("shared"))
+    leaks = counts.join(sizes, item_key).where(F.col("shared") >= F.greatest(F.lit(1), F.ceil(F.col("size") * min_share)))
+    return leaks.select(doc_key, item_key, "shared", (F.col("shared") / F.col("size")).alias("containment"))

@@ -330,6 +330,34 @@ JUNK = [
 ]
 
 
+def test_sketches_hold_the_minhash_of_every_run():
+    r = random.Random(8)
+    words = [f"w{r.randrange(60)}" for _ in range(300)]
+    runs = leakage.Runs([" ".join(words)], "w", 12)
+    parts = leakage._rolled(runs.codes, 4, leakage._BASE["w"])
+    assert [int(x) for x in runs.minhash] == [int(min(parts[i : i + 9])) for i in range(289)]
+    assert len(set(runs.minhash.tolist())) < 289 / 3
+    # A text that holds 40 runs in a row of another holds at least 40 / 9 of its MinHashes.
+    inner = leakage.Runs([" ".join(words[100:151])], "w", 12)
+    assert len(inner.at) == 40 and len(set(inner.minhash.tolist())) >= 5 and set(inner.minhash.tolist()) <= set(runs.minhash.tolist())
+
+
+@pytest.mark.parametrize("share", [0.1, 0.5, 0.9])
+def test_leaks_of_a_share(spark, share):
+    r = random.Random(int(share * 10))
+    words = [f"w{i}" for i in range(3000)]
+    items = [(i, "en", " ".join(r.choices(words, k=r.choice([15, 40, 200])))) for i in range(8)]
+    docs = []
+    for d in range(40):
+        own = items[r.randrange(8)][2].split()
+        take = [own[i : i + 13] for i in range(0, len(own), 17) if r.random() < 0.7] if d % 2 else [own[: r.randrange(12, len(own) + 1)]]
+        docs.append((d, " ".join(" ".join(x) + " " + " ".join(r.choices(words, k=5)) for x in take)))
+    grams = lambda s: {tuple(s.split()[i : i + 12]) for i in range(len(s.split()) - 11)}
+    want = {(d, i) for d, t in docs for i, _, p in items if len(grams(t) & grams(p)) >= max(1, share * len(grams(p)) - 1e-9)}
+    got = leakage.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, lang string, passage string"), min_share=share)
+    assert {(x.doc_id, x.item_id) for x in got.collect()} == want
+
+
 def test_quality_by_distance(spark):
     docs = [(i, PROSE[i % 3] + f" That was case {i}.") for i in range(90)] + [(100 + i, x) for i, x in enumerate(JUNK)] + [(200 + i, x) for i, x in enumerate(STRANGE)]
     docs += [(300, None), (301, "　\n"), (302, ""), (303, f"---\ntitle: x\n---\n{PROSE[1]}")]
