@@ -1,7 +1,7 @@
 """Rebuilding conversations from message rows.
 
 The rows are an event log. Per session and sequence number the events (creates, edits, deletes as blank text,
-retries under a new id) fold into one final turn; the sessions are then validated and ordered.
+retries under a new id) fold by version into one final turn; the sessions are then validated and ordered.
 
 No step gathers a session in one task. Folding is a hash aggregate on (session, seq). Order is checked on blocks of
 `BLOCK` sequence numbers, each reduced to a string of a few symbols that joins with its neighbours', so one session may
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skriva.functions.text import is_blank, strip_ws
+from skriva.session import cut
 
 #: Sequence numbers in a block: bounds what one group holds.
 BLOCK = 4096
@@ -38,49 +39,56 @@ def kind_key(col: Column) -> Column:
     return kind
 
 
-def fold_turns(turns: DataFrame, keep: str = "any") -> DataFrame:
-    """One row per (session_id, seq): symbol, turn_id of the row that stands for it, `conflict` if versions differ.
+def fold_turns(turns: DataFrame, keep: str = "any", text: bool = False) -> DataFrame:
+    """One row per (session_id, seq): turn_id and symbol of the row that stands for it, `conflict` if versions differ[, text].
 
-    `keep='any'` is for callers that drop sessions with conflicts: the versions agree, so the least turn_id stands for
-    all, and every buffer is of fixed width (a hash aggregate with partial sums before the shuffle). `keep='latest'`
-    takes the version with the last (logged_at, turn_id). Rows without a session or with a null or negative seq have no
-    place in a conversation: the former are left out, the latter come as seq null and mark the session as broken.
+    Events of one number are a create, its re-sent copies, edits (other content), deletes (blank text) and retries (the same
+    under a new id). `keep='any'` is for callers that drop sessions with conflicts: the versions agree, so the least turn_id
+    stands for all, and without text every buffer is of fixed width (a hash aggregate with partial sums before the
+    shuffle). `keep='latest'` takes the version with the last (logged_at, turn_id); a null time is the earliest. Rows
+    without a session are left out; those with a null or negative seq have no place in a conversation: they come as one row
+    with seq null, which never conflicts.
     """
-    kind, text, detail = kind_key(F.col("kind")), F.col("text"), F.col("detail")
-    blank = is_blank(text)
+    kind, said, detail = kind_key(F.col("kind")), F.col("text"), F.col("detail")
+    blank = is_blank(said)
     speaker = F.when(kind == "user", F.lit(2)).when(kind == "agent", F.lit(1)).otherwise(F.lit(0))
     symbol = F.when((F.coalesce(speaker, F.lit(0)) > 0) & blank, F.lit(-1)).otherwise(F.coalesce(speaker, F.lit(0)))
-    content = [kind, text, detail, kind.isNull(), text.isNull(), detail.isNull()]
+    content = [kind, said, detail, kind.isNull(), said.isNull(), detail.isNull()]
+    placed = F.col("seq") >= 0
     events = turns.select(
         session_key(F.col("session_id")).alias("session_id"),
-        F.when(F.col("seq") >= 0, F.col("seq")).cast("long").alias("seq"),
+        F.when(placed, F.col("seq")).cast("long").alias("seq"),
         F.col("turn_id").cast("long").alias("turn_id"),
         "logged_at",
         symbol.cast("int").alias("symbol"),
         F.xxhash64(*content).alias("h1"),
         F.xxhash64(F.lit("2"), *reversed(content)).alias("h2"),
+        *([F.when(placed & (symbol > 0), said).alias("text")] if text else []),
     ).where(F.col("session_id").isNotNull())
     groups = events.groupBy("session_id", "seq")
-    conflict = ((F.min("h1") != F.max("h1")) | (F.min("h2") != F.max("h2"))).alias("conflict")
-    if keep == "any":
+    conflict = (F.col("seq").isNotNull() & ((F.min("h1") != F.max("h1")) | (F.min("h2") != F.max("h2")))).alias("conflict")
+    if keep == "any" and not text:
         return groups.agg(F.min("turn_id").alias("turn_id"), F.max("symbol").alias("symbol"), conflict)
-    last = groups.agg(
-        F.max_by(F.struct("turn_id", "symbol"), F.struct("logged_at", "turn_id")).alias("last"), conflict
-    )
-    return last.select("session_id", "seq", "last.turn_id", "last.symbol", "conflict")
+    # A struct with a null first field is less than any other, and null ids less than all others.
+    order = F.struct("logged_at", "turn_id") if keep == "latest" else F.struct(-F.col("turn_id"))
+    stands = F.max_by(F.struct("turn_id", "symbol", *(["text"] if text else [])), order).alias("_s")
+    return groups.agg(stands, conflict).select("session_id", "seq", "_s.*", "conflict")
 
 
-def _blocks(folded: DataFrame) -> DataFrame:
-    """Per session and block of seq: its counts and its symbols, reduced to what its neighbours must know."""
+def _blocks(folded: DataFrame, speakers: bool = False) -> DataFrame:
+    """Per session and block of seq: its counts and its symbols, reduced to what its neighbours must know[, and the
+    numbers of its speaking turns in order]."""
     letters = F.element_at(F.array(F.lit(""), F.lit("O"), F.lit("A"), F.lit("U")), F.col("symbol") + 2)
-    ordered = F.array_sort(F.collect_list(F.struct("seq", letters.alias("s"))))
+    ordered = F.array_sort(F.collect_list(F.when(F.col("seq").isNotNull(), F.struct("seq", letters.alias("s")))))
     text = F.array_join(F.transform(ordered, lambda x: x["s"]), "")
+    speaking = F.array_sort(F.collect_list(F.when((F.col("symbol") > 0), F.col("seq"))))
     blocks = folded.groupBy("session_id", F.floor(F.col("seq") / BLOCK).alias("block")).agg(
         F.count("seq").alias("n"),
         F.max("seq").alias("high"),
-        F.max(F.col("seq").isNull() | F.col("conflict")).alias("bad_rows"),
+        F.max(F.col("seq").isNull()).alias("unnumbered"),
         F.max("conflict").alias("conflict"),
         text.alias("s"),
+        *([speaking.alias("speaking")] if speakers else []),
     )
     s = F.col("s")
     ends = F.concat(F.regexp_extract(s, "^O*[UA]", 0), F.regexp_extract(s, "[UA]O*$", 0))
@@ -90,33 +98,23 @@ def _blocks(folded: DataFrame) -> DataFrame:
         "block",
         "n",
         "high",
-        F.col("bad_rows"),
+        "unnumbered",
         "conflict",
         s.contains("U").alias("has_user"),
         s.contains("A").alias("has_agent"),
         s.rlike("UO+U").alias("unanswered"),
         short.alias("s"),
+        *(["speaking"] if speakers else []),
     )
 
 
-def judge_sessions(turns: DataFrame, sessions: DataFrame | None = None, keep: str = "any") -> DataFrame:
-    """One row per session: session_id and `reasons`, an array that is empty for a sound conversation.
-
-    Reasons: `no_turns` (listed in `sessions` only), `conflict` (two differing rows for one seq; not with
-    keep='latest'), `gap` (a number between 0 and the highest is missing, or a row has no number), `one_sided` (no user
-    or no agent turn with text), `unanswered` (a user turn without an agent turn before the next user turn or the end;
-    adjacent user turns count as one).
-    """
-    blocks = _blocks(fold_turns(turns, keep))
-    if sessions is not None:
-        listed = sessions.select(session_key(F.col("session_id")).alias("session_id")).where("session_id IS NOT NULL")
-        blocks = blocks.unionByName(listed.distinct(), allowMissingColumns=True)
+def _judge(blocks: DataFrame, keep: str) -> DataFrame:
     # A block row is some ten bytes for BLOCK turns, so a session's row stays small.
     whole = blocks.groupBy("session_id").agg(
         F.sum("n").alias("n"),
         F.count("n").alias("blocks"),
         F.max("high").alias("high"),
-        F.max("bad_rows").alias("bad_rows"),
+        F.max("unnumbered").alias("unnumbered"),
         F.max("conflict").alias("conflict"),
         F.max("has_user").alias("has_user"),
         F.max("has_agent").alias("has_agent"),
@@ -125,9 +123,7 @@ def judge_sessions(turns: DataFrame, sessions: DataFrame | None = None, keep: st
             F.transform(F.array_sort(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("block", "s")))), lambda x: x["s"]), ""
         ).alias("s"),
     )
-    gap = F.coalesce(F.col("high") + 1, F.lit(-1)) != F.col("n")
-    if keep == "any":
-        gap = gap | (F.col("bad_rows") & ~F.col("conflict"))
+    gap = (F.coalesce(F.col("high") + 1, F.lit(-1)) != F.col("n")) | F.col("unnumbered")
     open_end = F.col("unanswered") | F.col("s").rlike("UO+U|UO*$")
     has = F.col("blocks") > 0
     reasons = [
@@ -142,6 +138,21 @@ def judge_sessions(turns: DataFrame, sessions: DataFrame | None = None, keep: st
     )
 
 
+def judge_sessions(turns: DataFrame, sessions: DataFrame | None = None, keep: str = "any") -> DataFrame:
+    """One row per session: session_id and `reasons`, an array that is empty for a sound conversation.
+
+    Reasons: `no_turns` (listed in `sessions` only), `conflict` (two differing rows for one seq; not with
+    keep='latest'), `gap` (a number between 0 and the highest is missing, or a row has no number), `one_sided` (no user
+    or no agent turn with text), `unanswered` (a user turn without an agent turn before the next user turn or the end;
+    adjacent user turns count as one).
+    """
+    blocks = _blocks(fold_turns(turns, keep))
+    if sessions is not None:
+        listed = sessions.select(session_key(F.col("session_id")).alias("session_id")).where("session_id IS NOT NULL")
+        blocks = blocks.unionByName(listed.distinct(), allowMissingColumns=True)
+    return _judge(blocks, keep)
+
+
 def dropped_sessions(turns: DataFrame, sessions: DataFrame, keep: str = "any") -> DataFrame:
     """session_id of every session that is broken, empty or unanswered."""
     return judge_sessions(turns, sessions, keep).where(F.size("reasons") > 0).select("session_id")
@@ -150,22 +161,19 @@ def dropped_sessions(turns: DataFrame, sessions: DataFrame, keep: str = "any") -
 def conversations(turns: DataFrame, keep: str = "any") -> DataFrame:
     """The surviving sessions as ordered rows: session_id, position (from 0), role, text.
 
-    Rows and not one array per session, so that a session of any length fits. Text is fetched by turn_id only for the
-    turns that stay. Turns of other kinds and blank ones have no position. An empty table gives no rows.
+    Rows and not one array per session, so that a session of any length fits. The rows are folded once, text included,
+    and kept; blocks, judgement and places are made of the narrow columns. Turns of other kinds and blank ones have no
+    position. An empty table gives no rows.
     """
-    folded = fold_turns(turns, keep).where("seq IS NOT NULL")
-    sound = judge_sessions(turns, None, keep).where(F.size("reasons") == 0).select("session_id")
-    kept = folded.join(sound, "session_id", "left_semi").where("symbol > 0")
-    kept = kept.withColumn("block", F.floor(F.col("seq") / BLOCK))
-    per_block = kept.groupBy("session_id", "block").agg(F.count("*").alias("c"))
-    before = F.sum("c").over(Window.partitionBy("session_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = per_block.select("session_id", "block", F.coalesce(before, F.lit(0)).alias("offset"))
-    within = F.row_number().over(Window.partitionBy("session_id", "block").orderBy("seq")) - 1
-    placed = kept.withColumn("within", within).join(offsets, ["session_id", "block"])
-    texts = turns.select(F.col("turn_id").cast("long").alias("turn_id"), "text").dropDuplicates(["turn_id"])
-    return placed.join(texts, "turn_id").select(
+    folded = cut(fold_turns(turns, keep, text=True))
+    blocks = cut(_blocks(folded, speakers=True))
+    sound = _judge(blocks.drop("speaking"), keep).where(F.size("reasons") == 0).select("session_id")
+    before = F.sum(F.size("speaking")).over(Window.partitionBy("session_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    places = blocks.join(sound, "session_id", "left_semi").select("session_id", "block", "speaking", F.coalesce(before, F.lit(0)).alias("offset"))
+    spoken = folded.where("symbol > 0 AND seq IS NOT NULL").select("session_id", "seq", F.floor(F.col("seq") / BLOCK).alias("block"), "symbol", "text")
+    return spoken.join(places, ["session_id", "block"]).select(
         "session_id",
-        (F.col("offset") + F.col("within")).cast("long").alias("position"),
+        (F.col("offset") + F.array_position("speaking", F.col("seq")) - 1).cast("long").alias("position"),
         F.when(F.col("symbol") == 2, "user").otherwise("agent").alias("role"),
         "text",
     )

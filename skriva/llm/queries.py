@@ -34,6 +34,12 @@ def p1_conversations(spark: SparkSession, d: str) -> DataFrame:
     return conv.conversations(_t(spark, d, "turns"))
 
 
+@_query
+def p1_latest(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations with the last version of each turn, so that edits, deletes and retries drop no session."""
+    return conv.conversations(_t(spark, d, "turns"), keep="latest")
+
+
 #: In RE2's spelling, for DuckDB.
 _WS = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _P1_BASE = rf"""
@@ -63,6 +69,17 @@ SELECT sid FROM (SELECT regexp_replace(lower(regexp_replace(session_id, '^[{_WS}
                  FROM sessions) WHERE sid IS NOT NULL AND sid <> '' AND sid NOT IN (SELECT sid FROM rows_)
 """
 )
+_SQL["p1_latest"] = (
+    _P1_BASE.replace("SELECT DISTINCT sid, seq, CASE", "SELECT sid, seq, CASE").replace(
+        "WHERE sid IS NOT NULL AND sid <> ''),",
+        "WHERE sid IS NOT NULL AND sid <> '' QUALIFY row_number() OVER (PARTITION BY sid, seq ORDER BY logged_at DESC NULLS LAST, turn_id DESC NULLS LAST) = 1),",
+    )
+    + """
+SELECT sid AS session_id, row_number() OVER (PARTITION BY sid ORDER BY seq) - 1 AS position,
+       CASE s WHEN 'U' THEN 'user' ELSE 'agent' END AS role, text
+FROM told JOIN judged USING (sid) WHERE NOT bad AND s IN ('U', 'A')
+"""
+)
 _SQL["p1_conversations"] = (
     _P1_BASE
     + """

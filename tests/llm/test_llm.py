@@ -58,6 +58,34 @@ def test_sessions_match_brute_force(spark, monkeypatch):
     assert conversations.dropped_sessions(df.limit(0), listed.limit(0)).count() == 0
 
 
+def test_versions_fold(spark, monkeypatch):
+    monkeypatch.setattr(conversations, "BLOCK", 2)
+    at = lambda m: __import__("datetime").datetime(2025, 1, 1, 0, m)
+    rows = [
+        ("edit", 0, "user", "old", 1), ("edit", 0, "user", "new", 3), ("edit", 0, "user", "older", 2), ("edit", 1, "agent", "yes", 4), ("edit", 1, "agent", "yes", 5),
+        ("delete", 0, "user", "a", 1), ("delete", 1, "agent", "b", 2), ("delete", 2, "user", "c", 3), ("delete", 2, "user", "  ", 4), ("delete", 3, "agent", "d", 5),
+        ("gone", 0, "user", "a", 1), ("gone", 1, "agent", "b", 2), ("gone", 1, "agent", None, 3),
+        ("tie", 0, "user", "first", 1), ("tie", 0, "user", "second", 1), ("tie", 1, "agent", "x", None),
+        ("untimed", 0, "user", "timed", 1), ("untimed", 0, "user", "untimed", None), ("untimed", 1, "agent", "x", 1),
+        ("null", 0, "user", "a", 1), ("null", 1, "agent", "b", 2), ("null", None, "agent", "c", 3), ("null", None, "user", "d", 3), ("minus", -1, "user", "a", 1), ("minus", 0, "user", "a", 1), ("minus", 1, "agent", "a", 1),
+    ]
+    df = spark.createDataFrame([(i, "c", s, q, k, t, "", m and at(m), 0, 0) for i, (s, q, k, t, m) in enumerate(rows)], TURNS)
+    got = {}
+    for r in sorted(conversations.conversations(df, "latest").collect(), key=lambda r: r.position):
+        got.setdefault(r.session_id, []).append((r.position, r.role, r.text))
+    assert got == {
+        "edit": [(0, "user", "new"), (1, "agent", "yes")],
+        "delete": [(0, "user", "a"), (1, "agent", "b"), (2, "agent", "d")],
+        "tie": [(0, "user", "second"), (1, "agent", "x")],
+        "untimed": [(0, "user", "timed"), (1, "agent", "x")],
+    }
+    reasons = {r.session_id: r.reasons for r in conversations.judge_sessions(df, None, "latest").collect()}
+    assert reasons["null"] == ["gap"] and reasons["minus"] == ["gap"] and reasons["gone"] == ["one_sided", "unanswered"]
+    any_ = {r.session_id: r.reasons for r in conversations.judge_sessions(df).collect()}
+    assert any_["null"] == ["gap"] and any_["edit"] == ["conflict"]
+    assert conversations.conversations(df.limit(0), "latest").count() == 0
+
+
 def test_terms(spark):
     notes = spark.createDataFrame([(1, ["#Ａuth", "auth", None, " "]), (1, ["#Ａuth", "auth", None, " "]), (2, None), (3, []), (None, ["x"]), (4, ["zz"])], "note_id bigint, tags array<string>")
     queries = spark.createDataFrame([(1, "a　b:c", 0), (1, "a　b:c", 0), (2, "a", 0), (3, None, 0), (4, "a", 2), (5, "a", 0)], "id bigint, text string, hits int")
