@@ -4,6 +4,7 @@ import os
 import random
 import re
 import string
+import unicodedata
 
 import numpy as np
 import pytest
@@ -89,10 +90,35 @@ def test_versions_fold(spark, monkeypatch):
 def test_terms(spark):
     notes = spark.createDataFrame([(1, ["#Ａuth", "auth", None, " "]), (1, ["#Ａuth", "auth", None, " "]), (2, None), (3, []), (None, ["x"]), (4, ["zz"])], "note_id bigint, tags array<string>")
     queries = spark.createDataFrame([(1, "a　b:c", 0), (1, "a　b:c", 0), (2, "a", 0), (3, None, 0), (4, "a", 2), (5, "a", 0)], "id bigint, text string, hits int")
-    got = {(r.field_name, r.term): (r.occurrences, r.records, r.mark) for r in terms.term_frequencies(terms.tag_terms(notes).union(terms.gap_terms(queries))).collect()}
+    both = terms.tag_terms(notes).unionByName(terms.gap_terms(queries))
+    got = {(r.field_name, r.term): (r.occurrences, r.records, r.mark) for r in terms.term_frequencies(both).collect()}
+    assert terms.term_frequencies(both.limit(0)).count() == 0
     assert got == {("tags", "auth"): (2, 1, "rare"), ("tags", "zz"): (1, 1, "rare"), ("query", "a"): (3, 3, "common"), ("query", "b"): (1, 1, "rare"), ("query", "c"): (1, 1, "rare")}
 
 
+def test_terms_match_brute_force(spark):
+    r = random.Random(6)
+    notes = [(r.randrange(30), r.choice([None, [r.choice(["Ａ", "a", "#a", "b ", "c", None, "", "ß", "k"]) for _ in range(r.randrange(5))]])) for _ in range(80)]
+    notes += [(99, ["hot"] * 3)] * 40
+    log = [(r.randrange(40), r.choice([None, "a-b", "A　b", "c:(d)", "", " "]), r.choice([0, 0, 1, None])) for _ in range(120)]
+    want, records = {}, {}
+    def add(field, record, found):
+        if found:
+            records.setdefault(field, set()).add(record)
+        for t in found:
+            n, own = want.get((field, t), (0, set()))
+            want[field, t] = (n + 1, own | {record})
+    for i, tags in {(i, tuple(t)) for i, t in notes if t is not None}:
+        add("tags", i, [c for c in (unicodedata.normalize("NFKC", t).lower().strip().lstrip("#") for t in tags if t is not None) if c])
+    for i, text in {(i, t) for i, t, h in log if h == 0 and t is not None}:
+        add("query", i, re.sub(r'["*(){}:^-]', " ", unicodedata.normalize("NFKC", text).lower()).split())
+    total = {f: len(x) for f, x in records.items()}
+    expected = {k: (n, len(own), "rare" if len(own) <= 2 else "common" if len(own) > total[k[0]] * 0.1 else None) for k, (n, own) in want.items()}
+    n, q = spark.createDataFrame([(*x, 1) for x in notes], "note_id bigint, tags array<string>, term int"), spark.createDataFrame([(*x, 1) for x in log], "id bigint, text string, hits int, record int")
+    got = terms.term_frequencies(terms.tag_terms(n).unionByName(terms.gap_terms(q)))
+    assert {(x.field_name, x.term): (x.occurrences, x.records, x.mark) for x in got.collect()} == expected
+
+
 KEY = "-----BEGIN RSA PRIVATE KEY-----\n" + "Ab3/" * 16 + "\n" + "xY9+" * 16
 
 
