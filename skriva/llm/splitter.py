@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skriva.functions.text import estimate_tokens, is_blank
+from skriva.functions.text import is_blank, within_tokens
 
 LIMIT, OVERLAP = 400, 40
 #: Characters whose tables are worked on at once in a task; one longer text goes alone.
@@ -170,7 +170,7 @@ def split_items(df: DataFrame, key: str, text: str, keep: list[str] = (), limit:
     """
     keep = list(keep)
     own = df.select(F.col(key), *keep, F.col(text).alias("_text"))
-    small: Column = estimate_tokens(F.col("_text")) <= limit
+    small: Column = within_tokens(F.col("_text"), limit)
     names = [key, *keep]
     whole = own.where(~is_blank(F.col("_text")) & small).select(
         *names,
