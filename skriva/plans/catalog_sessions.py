@@ -40,7 +40,7 @@ def collapse_commands(spark: SparkSession, d: str) -> DataFrame:
     return sessions.kept_commands(turns(spark, d)).select("session_id", "seq", "kind", "said")
 
 
-_INTERESTING = r"(?im)^.*(?:error|exception|traceback|fatal|failed|failure|assertion|\d+\s+passed|exited with code [1-9]|command not found|no such file|permission denied|cannot find|undefined|unresolved).*$"
+_INTERESTING = r"(?im)^.*(?:error|exception|traceback|fatal|failed|failure|assertion|\bE\s{3}|\d+\s+passed|exited with code [1-9]|command not found|no such file|permission denied|cannot find|undefined|unresolved).*$"
 _LINES = rf"""CASE WHEN regexp_matches(coalesce(text, ''), 'node_modules|\.venv|site-packages|dist/|build/|\.git/') THEN '' ELSE
   array_to_string(list_slice(list_filter(ls, lambda x, i: x <> '' AND list_position(ls, x) = i), 1, 12), chr(10)) END"""
 _OUTPUT = f"(SELECT *, {_LINES} AS output FROM (SELECT *, list_transform(regexp_extract_all(coalesce(text, ''), '{_INTERESTING}'), lambda x: {s.strip('x')}) AS ls FROM t))"
