@@ -1,9 +1,9 @@
 """References to records that do not exist, per table side and period.
 
-References are first counted per distinct key, summed within each task before the shuffle; the anti-join with the parent
-keys then works on distinct keys, so a key that holds a third of all rows is one row. Where the rows themselves are
-wanted, the orphan keys are joined back in two parts: keys with more than `HOT_SHARE` of the rows, of which there are at
-most 1 / `HOT_SHARE`, by broadcast, all others by a shuffle join without hot keys.
+The distinct keys of the references are anti-joined with the parent keys, so a key that holds a third of all rows is one
+row; what is missing is joined back to the references for their rows or counts. That join is a semi-join on equality: the
+few missing keys go to every task if they are small when they have been counted, and else adaptive execution splits the
+partition of a hot key.
 
 Null keys refer to nothing and are never orphans. Parents that arrive later than the reference count. Repeated parents
 and references change nothing but the number of rows counted.
@@ -15,14 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skriva.functions.text import WS, strip_ws
-
-HOT_SHARE = 0.01
+from skriva.session import cut
 
 
 def note_name(col: Column) -> Column:
     """A wiki-link target, title or stem as it is compared: without section, alias, folder and `.md`, in lower case."""
-    cut = F.regexp_extract(col, r"^([^#|]*)", 1)
-    last = F.regexp_replace(F.regexp_extract(cut, r"([^/]*)$", 1), r"\.md$", "")
+    head = F.regexp_extract(col, r"^([^#|]*)", 1)
+    last = F.regexp_replace(F.regexp_extract(head, r"([^/]*)$", 1), r"\.md$", "")
     return F.lower(F.regexp_replace(strip_ws(last), f"{WS}+", " "))
 
 
@@ -37,21 +36,14 @@ def note_names(notes: DataFrame) -> DataFrame:
 
 
 def orphan_keys(references: DataFrame, key: str, parents: DataFrame, parent_key: str) -> DataFrame:
-    """key, n: the distinct non-null keys of `references` that no parent has, and how many rows refer to each."""
-    counts = references.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    have = parents.select(F.col(parent_key).alias(key)).where(F.col(key).isNotNull()).distinct()
-    return counts.join(have, key, "left_anti")
+    """key: the distinct non-null keys of `references` that no parent has."""
+    own = references.select(key).where(F.col(key).isNotNull()).distinct()
+    return own.join(parents.select(F.col(parent_key).alias(key)), key, "left_anti")
 
 
 def orphan_rows(references: DataFrame, key: str, orphans: DataFrame) -> DataFrame:
-    """The rows of `references` whose key is among `orphans` (key, n)."""
-    total = references.count()
-    hot = orphans.where(F.col("n") > F.lit(total * HOT_SHARE)).select(key)
-    cold = orphans.where(F.col("n") <= F.lit(total * HOT_SHARE)).select(key)
-    # At most 1 / HOT_SHARE keys can have so many rows.
-    own = references.join(F.broadcast(hot), key, "left_semi")
-    rest = references.join(F.broadcast(hot), key, "left_anti").join(cold, key, "left_semi")
-    return own.unionByName(rest)
+    """The rows of `references` whose key is among `orphans`."""
+    return references.join(orphans.select(key), key, "left_semi")
 
 
 def _link_references(links: DataFrame) -> DataFrame:
@@ -60,7 +52,8 @@ def _link_references(links: DataFrame) -> DataFrame:
 
 def link_orphans(links: DataFrame, notes: DataFrame) -> DataFrame:
     """src_note_id, target, side ('src' or 'target'): the distinct orphan references, values as stored."""
-    pairs = _link_references(links.select("src_note_id", "target").distinct())
+    # Read by both sides, each for its keys and for its rows.
+    pairs = cut(_link_references(links.select("src_note_id", "target").distinct()))
     src = orphan_rows(pairs, "src_note_id", orphan_keys(pairs, "src_note_id", notes, "note_id"))
     named = pairs.where("name <> ''")
     target = orphan_rows(named, "name", orphan_keys(named, "name", note_names(notes), "name"))
