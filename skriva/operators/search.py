@@ -1,14 +1,20 @@
 """Keyword rankings of a batch of queries, their fusion, priors and usage.
 
-No step compares every query with every passage. Terms meet passages through trigrams: each term is looked up by its
-rarest trigram, an equi-join, and the matches are then counted exactly in the passage. Scores are rounded to `DIGITS`
-before ranking, with the chunk as the last criterion, so that a ranking is the same on any cluster.
+No step compares a query with a passage. The distinct terms of the stated queries go to the tasks in blocks of at most
+`BLOCK_CHARS` characters, each as one automaton that finds all its terms in one walk over a text, overlapping places
+included. So a block costs one scan of the passages, nothing is shuffled before a term has matched, and what is shuffled
+is counts. Scores are rounded to `DIGITS` before ranking, with the chunk as the last criterion, so that a ranking is the
+same on any cluster.
 
 Null and blank query texts have no terms and rank nothing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,6 +26,8 @@ from skriva.session import cut
 DIGITS = 6
 DEFAULT_LIMIT, DEFAULT_BUDGET = 8, 2000
 COLUMNS = ("title", "tags", "breadcrumb", "body")
+#: Characters of the terms in a block: some 100 MB as an automaton.
+BLOCK_CHARS = 1_000_000
 
 
 def depth_of(limit: int) -> int:
@@ -36,12 +44,71 @@ def in_scope(scope: str, project: str | None) -> Column:
     return F.coalesce(F.col("project").isin(project, ""), F.lit(False))
 
 
-def _ngrams(col: Column, n: int) -> Column:
-    return F.array_distinct(F.regexp_extract_all(col, F.lit("(?s)(?=(.{%d}))" % n), F.lit(1)))
-
-
-def _lowered(passages: DataFrame) -> DataFrame:
-    return passages.select("chunk_id", *(F.lower(c).alias(c) for c in COLUMNS))
+def _lowered(passages: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
+    return passages.withColumns({c: F.lower(c) for c in columns})
+
+
+def _term_blocks(terms: DataFrame) -> Iterator[list[str]]:
+    """The distinct terms in blocks of bounded size; they are read in partitions."""
+    block: list[str] = []
+    chars = 0
+    for (term,) in terms.select("term").where("term <> ''").distinct().toLocalIterator():
+        if block and chars + len(term) > BLOCK_CHARS:
+            yield block
+            block, chars = [], 0
+        block.append(term)
+        chars += len(term)
+    if block:
+        yield block
+
+
+def _count_terms(block: list[str], weights: list[float], once: bool):
+    """Counts per passage (id, another column, texts) of every term of the block, weighted by text; with `once` a text
+    counts a term once."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for i, term in enumerate(block):
+            found.add_word(term, i)
+        found.make_automaton()
+        words = pa.array(block, pa.string())
+        for batch in batches:
+            rows: list[int] = []
+            which: list[int] = []
+            many: list[int] = []
+            columns = [batch.column(i + 2).to_pylist() for i in range(len(weights))]
+            for row, texts in enumerate(zip(*columns, strict=True)):
+                own: dict[int, int] = {}
+                for text, weight in zip(texts, weights, strict=True):
+                    if not text:
+                        continue
+                    if once:
+                        for i in {i for _, i in found.iter(text)}:
+                            own[i] = own.get(i, 0) + weight
+                    else:
+                        for _, i in found.iter(text):
+                            own[i] = own.get(i, 0) + weight
+                rows += [row] * len(own)
+                which += own
+                many += own.values()
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), words.take(pa.array(which, pa.int64())), pa.array(many, pa.float64()), batch.column(1).take(at)],
+                names=["chunk_id", "term", "frequency", batch.schema.names[1]],
+            )
+
+    return go
+
+
+def _matches(low: DataFrame, terms: DataFrame, weights: dict[str, float], keep: str, once: bool) -> DataFrame:
+    """chunk_id, term, frequency (weighted, > 0), and the column `keep`, of the terms in the lower-case columns."""
+    kind = lambda c: low.schema[c].dataType.simpleString()
+    schema = f"chunk_id {kind('chunk_id')}, term string, frequency double, {keep} {kind(keep)}"
+    out = None
+    for block in _term_blocks(terms):
+        part = low.select("chunk_id", keep, *weights).mapInArrow(_count_terms(block, list(weights.values()), once), schema)
+        out = part if out is None else out.unionByName(part)
+    return low.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def term_matches(passages: DataFrame, terms: DataFrame) -> DataFrame:
@@ -51,17 +118,7 @@ def term_matches(passages: DataFrame, terms: DataFrame) -> DataFrame:
     """
     low = _lowered(passages)
     length = sum(F.greatest(F.lit(0), F.length(c) - 2) for c in COLUMNS)
-    grams = low.select("chunk_id", F.explode(_ngrams(F.concat_ws("\x01", *COLUMNS), 3)).alias("gram"))
-    parts = terms.select("term").distinct().select("term", F.explode(_ngrams(F.col("term"), 3)).alias("gram"))
-    asked = grams.join(parts.select("gram").distinct(), "gram", "left_semi")
-    frequency = asked.groupBy("gram").agg(F.count("*").alias("df"))
-    # A trigram that stands nowhere is the rarest: its term has no match.
-    anchors = (
-        parts.join(frequency, "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("a")).select("term", F.col("a.gram").alias("gram"))
-    )
-    pairs = asked.join(anchors, "gram").select("chunk_id", "term")
-    count = sum(F.lit(w) * scoring.overlapping_count(F.col(c), F.col("term")) for c, w in scoring.BM25_WEIGHTS.items())
-    return pairs.join(low.withColumn("length", length), "chunk_id").select("chunk_id", "term", count.cast("double").alias("frequency"), "length").where("frequency > 0")
+    return _matches(low.withColumn("length", length), terms, scoring.BM25_WEIGHTS, "length", False)
 
 
 def bm25_parts(passages: DataFrame, terms: DataFrame) -> DataFrame:
@@ -69,7 +126,8 @@ def bm25_parts(passages: DataFrame, terms: DataFrame) -> DataFrame:
     length = sum(F.greatest(F.lit(0), F.length(F.lower(c)) - 2) for c in COLUMNS)
     # One row.
     corpus = passages.agg(F.count("*").alias("n_docs"), F.avg(length).alias("mean_length"))
-    matches = term_matches(passages, terms)
+    # Read twice here and by three rankings; the texts are looked through once.
+    matches = cut(term_matches(passages, terms))
     idf = matches.groupBy("term").agg(F.count("*").alias("n_with"))
     scored = matches.join(idf, "term").join(F.broadcast(corpus))
     part = scoring.bm25_term(scoring.bm25_idf(F.col("n_docs"), F.col("n_with")), F.col("frequency"), F.col("length"), F.col("mean_length"))
@@ -95,11 +153,11 @@ def _top(scores: DataFrame, label: str, depth: int, order: list[Column]) -> Data
     return scores.withColumn("rank", rank).where(F.col("rank") <= depth).select("query_id", F.lit(label).alias("label"), F.col("rank").cast("long").alias("rank"), "chunk_id", "score")
 
 
-def _bm25_scores(parts: DataFrame, asked: DataFrame, visible: DataFrame) -> DataFrame:
+def _bm25_scores(parts: DataFrame, asked: DataFrame, visible: DataFrame | None) -> DataFrame:
     sums = parts.join(asked, "term").groupBy("query_id", "chunk_id").agg(
         F.round(F.sum("part"), DIGITS).alias("score"), F.count("*").alias("found"), F.first("n").alias("n")
     )
-    return sums.join(visible, "chunk_id", "left_semi")
+    return sums if visible is None else sums.join(visible, "chunk_id", "left_semi")
 
 
 def keyword_rankings(passages: DataFrame, queries: DataFrame, depth: int, scope: Column | None = None) -> DataFrame:
@@ -109,12 +167,12 @@ def keyword_rankings(passages: DataFrame, queries: DataFrame, depth: int, scope:
     window of the terms, for queries that no passage answers in full and whose windows are more than their terms.
     `queries` has query_id and text; the scope is applied before the cut at `depth`.
     """
-    visible = passages.where(F.lit(True) if scope is None else scope).select("chunk_id")
+    visible = None if scope is None else passages.where(scope).select("chunk_id")
     asked = distinct_terms(queries, long_terms)
     windows = windowed_terms(queries)
-    # Three rankings read the parts; they are computed once.
-    parts = cut(bm25_parts(passages, asked.select("term").union(windows.select("term"))))
-    scores = _bm25_scores(parts, asked, visible)
+    parts = bm25_parts(passages, asked.select("term").union(windows.select("term")))
+    # Two rankings, and what is answered in full, read the scores.
+    scores = cut(_bm25_scores(parts, asked, visible))
     full = scores.where("found = n")
     rankings = _top(full.where("n > 1"), "all-terms", depth, [F.col("score")])
     rankings = rankings.unionByName(_top(scores, "keyword", depth, [F.col("score")]))
@@ -126,10 +184,8 @@ def substring_ranking(passages: DataFrame, queries: DataFrame, depth: int, scope
     """The ranking by terms of one or two characters: title 3, breadcrumb 2, body 1 for each term a column holds."""
     asked = distinct_terms(queries, short_terms)
     visible = passages.where(F.lit(True) if scope is None else scope)
-    low = visible.select("chunk_id", "tokens", *(F.lower(c).alias(c) for c in scoring.SUBSTRING_WEIGHTS))
-    columns = F.array(*(F.struct(F.concat(_ngrams(F.col(c), 1), _ngrams(F.col(c), 2)).alias("grams"), F.lit(w).alias("w")) for c, w in scoring.SUBSTRING_WEIGHTS.items()))
-    each = low.select("chunk_id", "tokens", F.explode(columns).alias("c")).select("chunk_id", "tokens", "c.w", F.explode("c.grams").alias("term"))
-    scores = each.join(asked, "term").groupBy("query_id", "chunk_id", "tokens").agg(F.sum("w").cast("double").alias("score"))
+    found = _matches(_lowered(visible, tuple(scoring.SUBSTRING_WEIGHTS)), asked, scoring.SUBSTRING_WEIGHTS, "tokens", True)
+    scores = found.join(asked, "term").groupBy("query_id", "chunk_id", "tokens").agg(F.sum("frequency").alias("score"))
     return _top(scores, "substring", depth, [F.col("score").desc(), F.coalesce("tokens", F.lit(0))])
 
 
@@ -162,7 +218,8 @@ def boosted(fused: DataFrame, passages: DataFrame, usage: DataFrame | None = Non
     if usage is not None:
         scored = scored.join(usage.select("path", "uses", "last_used", "pinned"), "path", "left")
         weight = scoring.usage_score(F.col("uses"), F.col("last_used"), F.col("pinned"), now)
-    scored = scored.withColumn("score", F.round(scoring.usage_boost(F.col("tiered"), weight), 9))
+    # Two more digits than the product of nine digits and a boost of a quarter has at most: nothing lies half-way.
+    scored = scored.withColumn("score", F.round(scoring.usage_boost(F.col("tiered"), weight), 11))
     order = [F.col("score").desc(), F.col("tiered").desc(), F.col("fused").desc(), "first_label", "first_rank", "chunk_id"]
     position = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
     return scored.withColumn("position", position.cast("long")).select("query_id", "position", "chunk_id", "path", "tokens", "matched_by", "fused", "tiered", "score")

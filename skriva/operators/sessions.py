@@ -2,7 +2,7 @@
 
 Orders within a session are computed in blocks (`operators.blocked`), so a session may hold any share of the rows. Only
 the rendering of an episode gathers a session's text; it gathers what is left after clipping, and at most
-`MAX_EPISODE_CHARS` of it.
+`MAX_EPISODE_CHARS` of it and of each run of commands. `command_blocks` without a limit gives whole runs, each a row.
 """
 
 from __future__ import annotations
@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 
 from skriva.functions.text import clip, collapse_blank_lines, estimate_tokens, interesting_lines, is_blank, redact, strip_ws
 from skriva.operators.blocked import previous_value, running_sum
+from skriva.session import cut
 
 USER_CHARS, AGENT_CHARS, COMMAND_CHARS, ERROR_CHARS = 1500, 1200, 300, 800
 MAX_EPISODE_CHARS = 16000
 MIN_TURNS, MIN_REQUEST_TOKENS = 3, 12
 MIN_SIGNALS = 2
+#: Seconds without a change after which a session is over.
+QUIET = 900.0
 
 
 def session_key(col: Column) -> Column:
@@ -36,9 +39,10 @@ def clean_turns(turns: DataFrame) -> DataFrame:
     """
     rows = turns.select(
         session_key(F.col("session_id")).alias("session_id"), F.col("seq").cast("long").alias("seq"), "turn_id", kind_key(F.col("kind")).alias("kind"), "text", "detail", "logged_at"
-    ).where("session_id IS NOT NULL AND seq >= 0")
-    first = rows.groupBy("session_id", "seq").agg(F.min("turn_id").alias("turn_id"))
-    return rows.join(first.select("turn_id"), "turn_id", "left_semi")
+    ).where("session_id IS NOT NULL AND seq >= 0 AND turn_id IS NOT NULL")
+    # One shuffle: what a re-sent row adds is dropped within each task before it.
+    first = F.min_by(F.struct("turn_id", "kind", "text", "detail", "logged_at"), "turn_id").alias("f")
+    return rows.groupBy("session_id", "seq").agg(first).select("session_id", "seq", "f.*")
 
 
 def worth_recording(turns: DataFrame) -> DataFrame:
@@ -51,7 +55,7 @@ def worth_recording(turns: DataFrame) -> DataFrame:
 
 def kept_commands(turns: DataFrame) -> DataFrame:
     """The command and edit turns without those that repeat the one before them, other turns aside; `said` is clipped."""
-    acts = turns.where(F.col("kind").isin("command", "edit")).withColumn("said", clip(F.coalesce("text", F.lit("")), COMMAND_CHARS)).where("said <> ''")
+    acts = turns.where(F.col("kind").isin("command", "edit")).select("session_id", "seq", "turn_id", "kind", "text").withColumn("said", clip(F.coalesce("text", F.lit("")), COMMAND_CHARS)).where("said <> ''")
     seen = previous_value(acts, ["session_id"], ["seq", "turn_id"], F.col("said"), "before")
     return seen.where("before IS NULL OR before <> said").drop("before")
 
@@ -72,14 +76,21 @@ def rendered_turns(turns: DataFrame) -> DataFrame:
     return acts.unionByName(talk)
 
 
-def command_blocks(turns: DataFrame) -> DataFrame:
+def command_blocks(turns: DataFrame, limit: int | None = None) -> DataFrame:
     """session_id, first_seq, commands, said: runs of kept commands that no text comes between, as one fenced block each.
 
-    A block's number is the count of texts before it, a running sum over blocks of the session.
+    A block's number is the count of texts before it, a running sum over blocks of the session. With `limit`, only so many
+    characters of a run are gathered, rounded up to a command, and `commands` counts these.
     """
-    parts = rendered_turns(turns)
-    numbered = running_sum(parts, ["session_id"], ["seq", "turn_id"], F.when(F.col("part") == "text", 1).otherwise(0), "island")
-    runs = numbered.where("part = 'command'").groupBy("session_id", "island").agg(
+    return _blocks_of(cut(rendered_turns(cut(turns))), limit)
+
+
+def _blocks_of(parts: DataFrame, limit: int | None) -> DataFrame:
+    numbered = running_sum(parts, ["session_id"], ["seq", "turn_id"], F.when(F.col("part") == "text", 1).otherwise(0), "island").where("part = 'command'")
+    if limit is not None:
+        size = F.length("said") + 1
+        numbered = running_sum(cut(numbered), ["session_id", "island"], ["seq", "turn_id"], size, "upto").where(F.col("upto") - size <= limit)
+    runs = numbered.groupBy("session_id", "island").agg(
         F.min("seq").alias("first_seq"), F.count("*").alias("commands"), F.array_sort(F.collect_list(F.struct("seq", "turn_id", "said"))).alias("lines")
     )
     lines = F.array_join(F.transform("lines", lambda x: x["said"]), "\n")
@@ -89,16 +100,19 @@ def command_blocks(turns: DataFrame) -> DataFrame:
 def episodes(turns: DataFrame, limit: int = MAX_EPISODE_CHARS) -> DataFrame:
     """session_id, title, body: each session reduced to what one would have noted, redacted, of bounded length.
 
-    A session is gathered only as far as its episode goes: parts that begin beyond the limit are left out before.
+    A session is gathered only as far as its episode goes: of each run of commands the first `limit` characters, and
+    parts that begin beyond the limit are left out before.
     """
-    blocks = command_blocks(turns).select("session_id", F.col("first_seq").alias("seq"), "said")
-    talk = rendered_turns(turns).where("part = 'text'").select("session_id", "seq", "said")
-    parts = running_sum(blocks.unionByName(talk), ["session_id"], ["seq"], F.length("said") + 2, "upto")
+    turns = cut(turns)
+    rendered = cut(rendered_turns(turns))
+    blocks = _blocks_of(rendered, limit).select("session_id", F.col("first_seq").alias("seq"), "said")
+    talk = rendered.where("part = 'text'").select("session_id", "seq", "said")
+    parts = running_sum(cut(blocks.unionByName(talk)), ["session_id"], ["seq"], F.length("said") + 2, "upto")
     near = parts.where(F.col("upto") - F.length("said") - 2 <= limit + 2)
     gathered = near.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("seq", "said"))).alias("p"))
     body = collapse_blank_lines(strip_ws(F.array_join(F.transform("p", lambda x: x["said"]), "\n\n")))
-    cut = F.concat(F.regexp_replace(F.substring(body, 1, limit), r"\s+$", ""), F.lit("\n\n[… session continues]"))
-    bodies = gathered.select("session_id", redact(F.when(F.length(body) > limit, cut).otherwise(body)).alias("body"))
+    short = F.concat(F.regexp_replace(F.substring(body, 1, limit), r"\s+$", ""), F.lit("\n\n[… session continues]"))
+    bodies = gathered.select("session_id", redact(F.when(F.length(body) > limit, short).otherwise(body)).alias("body"))
     return bodies.join(titles(turns), "session_id", "left").select("session_id", "title", "body")
 
 
@@ -115,13 +129,18 @@ def episode_path(project: Column, day: Column, client: Column, session_id: Colum
     return F.concat(F.lit("journal/episodes/"), folder, F.lit("/"), day, F.lit("-"), client, F.lit("-"), short, F.lit(".md"))
 
 
+def episode_file(project: str, day: str, client: str, session_id: str) -> str:
+    """`episode_path` for one session on the driver."""
+    return f"journal/episodes/{project or '_global'}/{day}-{client}-{session_id.replace('-', '')[:8] or 'unknown'}.md"
+
+
 def capped(turns: DataFrame, limit: int) -> DataFrame:
     """The turns of each session up to the one that would make its text longer than `limit` characters."""
     summed = running_sum(turns, ["session_id"], ["seq", "turn_id"], F.coalesce(F.length("text"), F.lit(0)), "upto")
     return summed.where(F.col("upto") <= limit)
 
 
-def new_sessions(sessions: DataFrame, known: DataFrame, now: float, quiet: float = 900.0, limit: int | None = None) -> DataFrame:
+def new_sessions(sessions: DataFrame, known: DataFrame, now: float, quiet: float = QUIET, limit: int | None = None) -> DataFrame:
     """Sessions that are complete (quiet for longer than `quiet` seconds) and not known, oldest first, `limit` per client."""
     rows = sessions.select(session_key(F.col("session_id")).alias("session_id"), "client", "modified").where("session_id IS NOT NULL")
     last = rows.groupBy("session_id", "client").agg(F.max("modified").alias("modified"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skriva.functions import scoring
 from skriva.operators import links, review, snapshots, telemetry, workspace
 from skriva.plans import sqlparts as s
+from skriva.plans.catalog_search import _PATH_USAGE, _path_usage
 from skriva.plans.registry import query
 from skriva.sources import markdown
 from skriva.sources.tables import latest_notes, table
@@ -49,20 +50,18 @@ def hot_paths(spark: SparkSession, d: str) -> DataFrame:
     return review.hot_paths(event_usage(spark, d), NOW)
 
 
-@query(f"WITH {s.USAGE} SELECT path, impressions FROM usage WHERE uses = 0 AND pinned = 0 AND impressions >= 5 ORDER BY impressions DESC, path LIMIT 10")
-def shown_unread(spark: SparkSession, d: str) -> DataFrame:
-    return review.shown_unread(event_usage(spark, d))
-
-
 def _note_usage(spark: SparkSession, d: str) -> DataFrame:
-    from skriva.plans.catalog_search import _path_usage
-
     return _path_usage(spark, d)
 
 
+@query(f"WITH {s.NOTES}, {_PATH_USAGE} SELECT path, impressions FROM usage WHERE uses = 0 AND pinned = 0 AND impressions >= 5 ORDER BY impressions DESC, path LIMIT 10")
+def shown_unread(spark: SparkSession, d: str) -> DataFrame:
+    return review.shown_unread(_note_usage(spark, d))
+
+
 @query(
     f"""WITH {s.NOTES}, used AS (SELECT DISTINCT n.path FROM (SELECT DISTINCT query_id, chunk_id, matched_by FROM hits) h JOIN (SELECT DISTINCT id, ts FROM queries) q ON h.query_id = q.id
-  JOIN (SELECT DISTINCT chunk_id, note_id FROM chunks) c ON h.chunk_id = c.chunk_id JOIN n ON c.note_id = n.note_id WHERE replace(lower({s.strip("h.matched_by")}), '_', '-') = 'all-terms' AND n.path IS NOT NULL)
+  JOIN (SELECT DISTINCT chunk_id, note_id FROM chunks) c ON h.chunk_id = c.chunk_id JOIN n ON c.note_id = n.note_id WHERE replace(lower({s.strip("h.matched_by")}), '_', '-') IN ('all-terms', 'partial') AND n.path IS NOT NULL)
 SELECT path, round(({NOTES_NOW} - mtime) / 86400.0, 1) AS age FROM n WHERE mtime > 0 AND path NOT IN (SELECT path FROM used) AND ({NOTES_NOW} - mtime) / 86400.0 >= 90 ORDER BY age DESC, path LIMIT 15"""
 )
 def stale_notes(spark: SparkSession, d: str) -> DataFrame:
@@ -153,9 +152,13 @@ def snapshot_upsert(spark: SparkSession, d: str) -> DataFrame:
     return snapshots.replace_rows(previous, new, ["path"], changes.where("change = 'removed'").select("path"))
 
 
-@query("SELECT DISTINCT * FROM queries ORDER BY ts DESC NULLS LAST, id DESC NULLS LAST LIMIT 5000")
+#: Less than the default, so that there is something to prune in every test table.
+KEEP = 100
+
+
+@query(f"SELECT DISTINCT * FROM queries ORDER BY ts DESC NULLS LAST, id DESC NULLS LAST LIMIT {KEEP}")
 def prune_queries(spark: SparkSession, d: str) -> DataFrame:
-    return telemetry.newest_queries(table(spark, d, "queries"))
+    return telemetry.newest_queries(table(spark, d, "queries"), KEEP)
 
 
 def _offers(spark: SparkSession, d: str) -> DataFrame:
@@ -215,10 +218,11 @@ def workspace_match(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH e AS (SELECT DISTINCT id, agent, make_timestamp((ts * 1000000)::BIGINT) AS t, text FROM queries WHERE ts > 0 AND text IS NOT NULL)
-SELECT agent AS project, t::DATE AS day, string_agg('## ' || strftime(t, '%H:%M') || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY t, id) AS body FROM e GROUP BY ALL"""
+SELECT agent AS project, t::DATE AS day, coalesce(array_to_string(list_sort(list(DISTINCT CASE WHEN text <> '' THEN 'n' || (length(text) % 5) END)), ','), '') AS tags,
+string_agg('## ' || strftime(t, '%H:%M') || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY t, id) AS body FROM e GROUP BY ALL"""
 )
 def journal_merge(spark: SparkSession, d: str) -> DataFrame:
-    """The query log as a journal: one file per agent and day."""
+    """The query log as a journal: one file per agent and day, with the tags of all its entries."""
     rows = table(spark, d, "queries").where("ts > 0 AND text IS NOT NULL").select("id", "agent", "ts", "text").distinct()
-    entries = rows.select(F.col("id").alias("entry_id"), F.col("agent").alias("project"), F.timestamp_micros((F.col("ts") * 1000000).cast("long")).alias("ts"), F.col("text").alias("content"), F.lit(None).cast("array<string>").alias("tags"))
-    return markdown.merge_journal(entries).select("project", "day", "body")
+    entries = rows.select(F.col("id").alias("entry_id"), F.col("agent").alias("project"), F.timestamp_micros((F.col("ts") * 1000000).cast("long")).alias("ts"), F.col("text").alias("content"), F.array(F.when(F.col("text") != "", F.concat(F.lit("n"), (F.length("text") % 5).cast("string")))).alias("tags"))
+    return markdown.merge_journal(entries).select("project", "day", F.array_join("tags", ",").alias("tags"), "body")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skriva.functions import scoring, text
+from skriva.memory import search_batch
 from skriva.operators import evaluate, review, search, select, vectors
 from skriva.plans import sqlparts as s
 from skriva.plans.registry import query
@@ -41,9 +42,17 @@ def bm25_all_terms(spark: SparkSession, d: str) -> DataFrame:
     return _keyword(spark, d).where("label = 'all-terms'").select("query_id", "rank", "chunk_id", "score")
 
 
-@query(f"WITH {s.BM25} SELECT query_id, rank, chunk_id, score FROM ({s.keyword_rankings(DEPTH)}) WHERE label = 'partial'")
+_CASES = s.BM25.replace(s.ASKED, "q AS (SELECT item_id AS query_id, question AS text FROM eval_items)").replace(
+    s.PASSAGES, "p AS (SELECT turn_id AS chunk_id, '' AS title, '' AS tags, '' AS breadcrumb, coalesce(text, '') AS body FROM turns)"
+)
+
+
+@query(f"WITH {_CASES} SELECT query_id, rank, chunk_id, score FROM ({s.keyword_rankings(DEPTH)}) WHERE label = 'partial'")
 def partial_windows(spark: SparkSession, d: str) -> DataFrame:
-    return _keyword(spark, d).where("label = 'partial'").select("query_id", "rank", "chunk_id", "score")
+    """The questions of the retrieval cases, many of them Japanese, against the turns, which answer few in full."""
+    questions = table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), F.col("question").alias("text"))
+    texts = table(spark, d, "turns").select(F.col("turn_id").alias("chunk_id"), *(F.lit("").alias(c) for c in ("title", "tags", "breadcrumb")), F.coalesce("text", F.lit("")).alias("body"))
+    return search.keyword_rankings(texts, questions, DEPTH).where("label = 'partial'").select("query_id", "rank", "chunk_id", "score")
 
 
 @query(f"WITH {s.BM25} SELECT query_id, rank, chunk_id, score FROM ({s.substring_ranking(DEPTH)})")
@@ -70,7 +79,7 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _positions(usage: bool) -> str:
-    boost = f", round(tiered * (1 + 0.25 * coalesce({s.USAGE_SCORE}, 0.0)), 9) AS score" if usage else ", tiered AS score"
+    boost = f", round(tiered * (1 + 0.25 * coalesce({s.USAGE_SCORE}, 0.0)), 11) AS score" if usage else ", tiered AS score"
     join = "LEFT JOIN (SELECT path, uses, last_used, pinned FROM usage) USING (path)" if usage else ""
     return f"SELECT query_id, chunk_id, path, tokens, body, fused, tiered, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tiered DESC, fused DESC, first, chunk_id) AS position FROM (SELECT *{boost} FROM tiered {join})"
 
@@ -81,13 +90,14 @@ def tier_prior(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _path_usage(spark: SparkSession, d: str) -> DataFrame:
-    """Usage per note path from the log's results: a row of `hits` shows the note, one under all-terms uses it."""
+    """Usage per note path from the log's results: a row of `hits` shows the note, one under all-terms uses it, one under partial pins it."""
     hits, q = table(spark, d, "hits").select("query_id", "chunk_id", "matched_by").distinct(), table(spark, d, "queries").select(F.col("id").alias("query_id"), "ts").distinct()
     chunk = distinct_chunks(table(spark, d, "chunks")).select("chunk_id", "note_id")
     notes = passages_notes(spark, d)
     rows = hits.join(q, "query_id").join(chunk, "chunk_id").join(notes, "note_id")
-    used = F.translate(F.lower(text.strip_ws(F.col("matched_by"))), "_", "-") == "all-terms"
-    return review.usage_of(rows.select("path", F.when(used, "used").otherwise("shown").alias("kind"), "ts", F.lit(None).cast("int").alias("pinned")))
+    label = F.translate(F.lower(text.strip_ws(F.col("matched_by"))), "_", "-")
+    kind = F.when(label == "all-terms", "used").when(label == "partial", "pin").otherwise("shown")
+    return review.usage_of(rows.select("path", kind.alias("kind"), "ts", F.lit(1).alias("pinned")))
 
 
 def passages_notes(spark: SparkSession, d: str) -> DataFrame:
@@ -97,8 +107,8 @@ def passages_notes(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PATH_USAGE = f"""
-usage AS (SELECT path, count(*) FILTER (k <> 'used') AS impressions, count(*) FILTER (k = 'used') AS uses, coalesce(max(ts) FILTER (k = 'used'), 0.0) AS last_used, 0 AS pinned
-  FROM (SELECT n.path, q.ts, CASE WHEN replace(lower({s.strip("h.matched_by")}), '_', '-') = 'all-terms' THEN 'used' ELSE 'shown' END AS k
+usage AS (SELECT path, count(*) FILTER (k = 'shown') AS impressions, count(*) FILTER (k = 'used') AS uses, coalesce(max(ts) FILTER (k = 'used'), 0.0) AS last_used, coalesce(max((k = 'pin' AND ts IS NOT NULL)::INT), 0) AS pinned
+  FROM (SELECT n.path, q.ts, CASE replace(lower({s.strip("h.matched_by")}), '_', '-') WHEN 'all-terms' THEN 'used' WHEN 'partial' THEN 'pin' ELSE 'shown' END AS k
         FROM (SELECT DISTINCT query_id, chunk_id, matched_by FROM hits) h JOIN (SELECT DISTINCT id, ts FROM queries) q ON h.query_id = q.id
         JOIN (SELECT DISTINCT chunk_id, note_id FROM chunks) c ON h.chunk_id = c.chunk_id JOIN n ON c.note_id = n.note_id) WHERE path IS NOT NULL GROUP BY path)"""
 
@@ -127,10 +137,25 @@ def budget_select(spark: SparkSession, d: str) -> DataFrame:
     return chosen.select("query_id", F.array_join(F.col("hits").cast("array<string>"), ",").alias("hits"), "returned", "tokens", "considered", "truncated")
 
 
-@query()
+_SHINGLES = "list_distinct(list_transform(range(1, length(nb) - 3), lambda i: substr(nb, i::INTEGER, 5)))"
+
+
+@query(
+    f"""WITH {_RANKINGS}, pos AS (SELECT *, {s.squeeze('body')} AS nb FROM ({_positions(False)})),
+sets AS MATERIALIZED (SELECT query_id, position, chunk_id, {_COST} AS cost, {_SHINGLES} AS g FROM pos),
+packed AS (SELECT query_id, list(struct_pack(c := chunk_id, t := cost, g := g) ORDER BY position) AS items FROM sets GROUP BY query_id),
+picked AS (SELECT query_id, items, list_reduce(items, lambda a, x: CASE WHEN len(a.hits) = 8 THEN a
+    WHEN len(x.g) >= 12 AND len(list_filter(a.kept, lambda k: len(k) >= 12 AND len(list_intersect(k, x.g)) / least(len(k), len(x.g)) >= 0.7)) > 0
+      THEN struct_pack(hits := a.hits, kept := a.kept, spent := a.spent, over := a.over, same := a.same + 1)
+    WHEN a.spent + x.t > 2000 THEN struct_pack(hits := a.hits, kept := a.kept, spent := a.spent, over := a.over + 1, same := a.same)
+    ELSE struct_pack(hits := list_append(a.hits, x.c), kept := list_append(a.kept, x.g), spent := a.spent + x.t, over := a.over, same := a.same) END,
+  struct_pack(hits := []::BIGINT[], kept := []::VARCHAR[][], spent := 0::BIGINT, over := 0::BIGINT, same := 0::BIGINT)) AS r FROM packed)
+SELECT query_id, array_to_string(r.hits, ',') AS hits, len(r.hits) AS returned, r.spent AS tokens, len(items) AS considered, r.over AS truncated, r.same AS redundant FROM picked"""
+)
 def redundancy_select(spark: SparkSession, d: str) -> DataFrame:
     p = _passages(spark, d)
-    return select.select_hits(search.boosted(search.fuse(_rankings(spark, d)), p), p, search.DEFAULT_LIMIT, search.DEFAULT_BUDGET)
+    chosen = select.select_hits(search.boosted(search.fuse(_rankings(spark, d)), p), p, search.DEFAULT_LIMIT, search.DEFAULT_BUDGET)
+    return chosen.withColumn("hits", F.array_join(F.col("hits").cast("array<string>"), ","))
 
 
 @query(
@@ -200,20 +225,45 @@ def cosine_scoped(spark: SparkSession, d: str) -> DataFrame:
 def ann_cells(spark: SparkSession, d: str) -> DataFrame:
     """Search through an index of cells, with as many probes as the recall takes on this table; tested against `cosine_topk`."""
     q, v = _vectors(spark, d)
-    cells = vectors.Cells.fit(v, 24)
-    indexed = cells.assign(v, "vec_id", "embedding")
+    cells, indexed, _ = vectors.rebuild_index(v)
+    if cells is None:
+        return vectors.cosine_ranking(q, v, DEPTH).select("query_id", "rank", "chunk_id", "score")
     probes = vectors.probes_for(q, indexed, cells, DEPTH)
     return vectors.ann_ranking(q, indexed, cells, probes, DEPTH).select("query_id", "rank", "chunk_id", "score")
 
 
+#: The labels that a scoped vector search may see.
+SEEN_LABELS = [0, 1, 2, 3, 4]
+
+
+@query("WITH " + _COSINE.format(scope=f"AND b.label IN ({', '.join(map(str, SEEN_LABELS))})", depth=DEPTH))
+def cosine_seen(spark: SparkSession, d: str) -> DataFrame:
+    """All queries among the vectors of some labels, exactly."""
+    q, v = _vectors(spark, d)
+    return vectors.cosine_ranking(q, v.where(F.col("label").isin(SEEN_LABELS)), DEPTH).select("query_id", "rank", "chunk_id", "score")
+
+
+@query()
+def ann_scoped(spark: SparkSession, d: str) -> DataFrame:
+    """The same through the index: the scope holds before the cut; tested against `cosine_seen`."""
+    q, v = _vectors(spark, d)
+    cells, indexed, _ = vectors.rebuild_index(v, keep=["label"])
+    scope = F.col("label").isin(SEEN_LABELS)
+    if cells is None:
+        return vectors.cosine_ranking(q, v.where(scope), DEPTH).select("query_id", "rank", "chunk_id", "score")
+    probes = vectors.probes_for(q, indexed.where(scope), cells, DEPTH)
+    return vectors.ann_ranking(q, indexed, cells, probes, DEPTH, scope=scope).select("query_id", "rank", "chunk_id", "score")
+
+
 @query()
 def search_hybrid(spark: SparkSession, d: str) -> DataFrame:
-    """Keyword, substring and vector rankings, fused, weighed and chosen. Texts are encoded by the hashing encoder."""
+    """The whole search of a project: keyword, substring and vector rankings, fused, weighed and chosen, and asked again of
+    everything where the project has nothing. Texts are encoded by the hashing encoder."""
     p, q = _passages(spark, d), asked(spark, d)
-    encoded = vectors.encode_texts(p.select("chunk_id", F.concat_ws("\n", "breadcrumb", "body").alias("t")), "chunk_id", "t").withColumnRenamed("chunk_id", "vec_id")
+    # The vectors are made once, however many blocks of queries look through them.
+    encoded = cut(vectors.encode_texts(p.select("chunk_id", F.concat_ws("\n", "breadcrumb", "body").alias("t")), "chunk_id", "t").withColumnRenamed("chunk_id", "vec_id"))
     meaning = vectors.cosine_ranking(vectors.encode_texts(q, "query_id", "text").withColumnRenamed("query_id", "vec_id"), encoded, DEPTH)
-    ranked = search.fuse(_rankings(spark, d).unionByName(meaning))
-    return select.select_hits(search.boosted(ranked, p, _path_usage(spark, d), NOW), p, search.DEFAULT_LIMIT, search.DEFAULT_BUDGET)
+    return search_batch(p, q, scope="project", project=PROJECT, usage=_path_usage(spark, d), now=NOW, semantic=meaning)
 
 
 @query("SELECT DISTINCT chunk_id FROM chunks WHERE chunk_id IS NOT NULL AND chunk_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id IS NOT NULL)")

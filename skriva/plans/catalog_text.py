@@ -182,7 +182,17 @@ def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return similar_pairs(table(spark, d, "documents"), "doc_id", "text").withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+@query(
+    _PAIRS.replace("WITH t AS", "WITH RECURSIVE t AS", 1)
+    + """,
+sim AS (SELECT "left", "right" FROM m JOIN c a ON a.id = "left" JOIN c b ON b.id = "right" WHERE k / (a.c + b.c - k) >= 0.8),
+e AS (SELECT "left" AS a, "right" AS b FROM sim UNION ALL SELECT "right", "left" FROM sim),
+reach AS (SELECT DISTINCT a AS node, a AS root FROM e UNION SELECT reach.node, e.b FROM reach JOIN e ON reach.root = e.a),
+roots AS (SELECT node, min(root) AS root FROM reach GROUP BY node),
+many AS (SELECT a AS node, count(*) AS links FROM e GROUP BY a)
+SELECT doc_id, coalesce(roots.root, r.id) AS class_id, coalesce(links, 0) AS links FROM t JOIN r USING (n) LEFT JOIN roots ON roots.node = r.id LEFT JOIN many ON many.node = r.id
+UNION ALL SELECT doc_id, doc_id, 0 FROM documents WHERE text IS NULL"""
+)
 def near_duplicate_classes(spark: SparkSession, d: str) -> DataFrame:
     from skriva.operators.neardup import document_classes
 

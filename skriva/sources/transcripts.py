@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skriva.functions.text import strip_ws
+from skriva.session import cut
 
 #: Characters of a transcript that are read.
 MAX_CHARS = 32 * 1024 * 1024
@@ -125,15 +126,58 @@ def codex_turns(parsed: DataFrame) -> DataFrame:
 FORMATS: dict[str, Callable[[DataFrame], DataFrame]] = {"claude": claude_turns, "codex": codex_turns}
 
 
-def folders(parsed: DataFrame) -> DataFrame:
+def folders_of(parsed: DataFrame) -> DataFrame:
     """session_id, cwd: the first folder that a transcript names, in either format."""
     named = parsed.select("session_id", "line_no", F.coalesce(F.nullif(_get("v", "$.cwd"), F.lit("")), F.nullif(_get("v", "$.payload.cwd"), F.lit(""))).alias("cwd"))
     return named.where("cwd IS NOT NULL").groupBy("session_id").agg(F.min_by("cwd", "line_no").alias("cwd"))
 
 
 def numbered(turns: DataFrame, client: str) -> DataFrame:
-    """client, session_id, seq, kind, text, detail: turns in the order of their lines and parts."""
-    from pyspark.sql.window import Window
+    """client, session_id, seq, kind, text, detail: turns in the order of their lines and parts, counted in blocks."""
+    from skriva.operators.blocked import running_sum
+
+    counted = running_sum(turns, ["session_id"], ["line_no", "part"], F.lit(1), "nth")
+    return counted.select(F.lit(client).alias("client"), "session_id", (F.col("nth") - 1).cast("int").alias("seq"), "kind", "text", "detail")
+
+
+def available(spark: SparkSession, roots: dict[str, list[str]]) -> dict[str, list[str]]:
+    """Of each known format the folders that exist; formats without any are left out."""
+    from skriva.sources.markdown import exists
+
+    there = {client: [f for f in folders if exists(spark, f, "")] for client, folders in roots.items() if client in FORMATS}
+    return {client: folders for client, folders in there.items() if folders}
+
 
-    seq = F.row_number().over(Window.partitionBy("session_id").orderBy("line_no", "part")) - 1
-    return turns.select(F.lit(client).alias("client"), "session_id", seq.cast("int").alias("seq"), "kind", "text", "detail")
+def discover(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """session_id, modified of all transcripts below the folders; no file is opened. Of files with one name the last counts."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(list(folders))
+    name = F.regexp_replace(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.jsonl$", ""), "^rollout-", "")
+    files = raw.select(F.lower(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))).alias("session_id"), (F.unix_micros("modificationTime") / 1e6).alias("modified"))
+    return files.groupBy("session_id").agg(F.max("modified").alias("modified"))
+
+
+def import_sessions(spark: SparkSession, client: str, folders: list[str], fresh: DataFrame, limit: int | None = None) -> DataFrame:
+    """session_id, modified, readable, worth, cwd, title, body of the `fresh` sessions (session_id, modified), oldest first up
+    to the one that makes `limit` episodes. A file none of whose lines is JSON isn't readable."""
+    from skriva.operators import sessions
+
+    lines = read_lines(spark, folders).withColumn("session_id", F.lower("session_id")).join(fresh.select("session_id"), "session_id", "left_semi")
+    lines = lines.select("session_id", "line_no", "value")
+    parsed = cut(parsed_lines(lines))
+    said = lines.where(F.trim("value") != "").select("session_id").distinct().join(parsed.select("session_id").distinct(), "session_id", "left_anti")
+    turns = cut(numbered(FORMATS[client](parsed), client).withColumn("seq", F.col("seq").cast("long")).withColumn("turn_id", F.col("seq")))
+    judged = sessions.worth_recording(turns).select("session_id", "worth")
+    out = (
+        fresh.select("session_id", "modified")
+        .join(judged, "session_id", "left")
+        .join(said.withColumn("bad", F.lit(True)), "session_id", "left")
+        .select("session_id", "modified", F.col("bad").isNull().alias("readable"), F.coalesce("worth", F.lit(False)).alias("worth"))
+    )
+    out = cut(out)
+    if limit is not None:
+        last = out.where("worth").orderBy("modified", "session_id").limit(limit).collect()
+        if len(last) == limit:
+            end = F.struct(F.lit(last[-1]["modified"]).alias("modified"), F.lit(last[-1]["session_id"]).alias("session_id")) if last else None
+            out = out.where(F.struct("modified", "session_id") <= end) if last else out.limit(0)
+    texts = sessions.episodes(turns.join(out.where("worth").select("session_id"), "session_id", "left_semi"))
+    return out.join(folders_of(parsed), "session_id", "left").join(texts, "session_id", "left")

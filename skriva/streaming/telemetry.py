@@ -64,10 +64,10 @@ def attribute(offered: list[str], events: list[tuple[str, str, object]], keep: i
     return list(order), reads
 
 
-def attributed_reads(events: DataFrame, keep: int = OFFERED, timeout: str = "ProcessingTimeTimeout") -> DataFrame:
+def attributed_reads(events: DataFrame, keep: int = OFFERED, idle_hours: float = 24.0) -> DataFrame:
     """session_id, path, ts of the reads that follow an offer: a stream of session_id, path, kind, ts (TIMESTAMP), event_id.
 
-    The state of a session is at most `keep` paths; it goes after a day without events.
+    The state of a session is at most `keep` paths; it goes after `idle_hours` without events.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -81,18 +81,21 @@ def attributed_reads(events: DataFrame, keep: int = OFFERED, timeout: str = "Pro
             if reads:
                 yield pd.DataFrame({"session_id": key[0], "path": [p for p, _ in reads], "ts": [t for _, t in reads]})
         state.update((json.dumps(offered),))
-        state.setTimeoutDuration(24 * 3600 * 1000)
+        state.setTimeoutDuration(int(idle_hours * 3600 * 1000))
 
     return events.groupBy("session_id").applyInPandasWithState(step, "session_id string, path string, ts timestamp", "offered string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def import_new_files(stream: DataFrame, handle: Callable[[DataFrame], DataFrame], out: str, quarantine: str, checkpoint: str):
+def import_new_files(stream: DataFrame, handle: Callable[[DataFrame], DataFrame], out: str, quarantine: str, checkpoint: str, baseline: DataFrame | None = None):
     """Import each new transcript once: `handle` turns lines into rows for `out`; lines that aren't JSON go to `quarantine`.
 
-    `stream` is `readStream.format('text')` with `maxFilesPerTrigger`; the checkpoint remembers which files are done.
+    With `baseline` (session_id) the lines of these sessions, which were there before, are left out; `stream` then has
+    session_id too. `stream` is `readStream.format('text')` with `maxFilesPerTrigger`; the checkpoint remembers which files are done.
     """
 
     def batch(df: DataFrame, number: int) -> None:
+        if baseline is not None:
+            df = df.join(baseline.select("session_id").distinct(), "session_id", "left_anti")
         marked = df.withColumn("_ok", F.try_parse_json("value").isNotNull() | (F.trim("value") == ""))
         handle(marked.where("_ok").drop("_ok")).write.mode("overwrite").parquet(f"{out}/batch={number}")
         marked.where("NOT _ok").drop("_ok").write.mode("overwrite").parquet(f"{quarantine}/batch={number}")

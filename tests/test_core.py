@@ -23,6 +23,20 @@ def test_tokens_and_terms(spark):
     assert one(spark, text.shingles(F.lit("AB  cd"))) == ["ab cd"]
 
 
+def test_within_tokens(spark):
+    texts = [None, "", "a" * 12, "a" * 13, "設計検", "設計検索", "設計a", "設a", "é" * 12, "é" * 13, " " * 13, "設" + "a" * 8, "設" + "a" * 9]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", text.within_tokens(F.col("t"), 3).alias("w"), text.estimate_tokens(F.col("t")).alias("n")).collect()
+    assert all(r.w == (r.n <= 3) for r in rows) and {r.w for r in rows} == {True, False}
+
+
+def test_interesting_lines(spark):
+    out = "ok\n  E   assert 1 == 2\nE   where x\nSEE   nothing\n3 passed\n3 passed\nfine\nFile not found: no such file\nTheme   x"
+    assert one(spark, text.interesting_lines(F.lit(out))) == ["E   assert 1 == 2", "E   where x", "3 passed", "File not found: no such file"]
+    assert one(spark, text.interesting_lines(F.lit("error in node_modules/x"))) == []
+    assert one(spark, text.interesting_lines(F.lit(None).cast("string"))) == []
+
+
 def test_redact_keeps_code_and_short_values(spark):
     assert one(spark, text.redact(F.lit('API_KEY="abcdefghij" x'))) == 'API_KEY="[redacted]" x'
     assert one(spark, text.redact(F.lit("PASSWORD=short"))) == "PASSWORD=short"
@@ -150,8 +164,10 @@ def test_vectors_recall(spark):
     v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     q = v.where("vec_id % 50 = 0")
     exact = {(r.query_id, r.chunk_id) for r in vectors.cosine_ranking(q, v, 5, -1.0).collect()}
-    cells = vectors.Cells.fit(v, 24)
-    near = {(r.query_id, r.chunk_id) for r in vectors.ann_ranking(q, cells.assign(v, "vec_id", "embedding"), cells, 16, 5, -1.0).collect()}
+    cells, indexed, n = vectors.rebuild_index(v)
+    assert n == v.count() and len(cells.centres) == int(n**0.5)
+    probes = vectors.probes_for(q, indexed, cells, 5, -1.0)
+    near = {(r.query_id, r.chunk_id) for r in vectors.ann_ranking(q, indexed, cells, probes, 5, -1.0).collect()}
     assert len(exact & near) / len(exact) >= 0.9
     odd = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, []), (4, [0.0, 0.0]), (5, [1.0])], "vec_id bigint, embedding array<double>")
     assert [(r.query_id, r.chunk_id) for r in vectors.cosine_ranking(odd.where("vec_id = 1"), odd, 5).collect()] == [(1, 1)]
@@ -160,9 +176,21 @@ def test_vectors_recall(spark):
 def test_registered_index_search_finds_its_share(spark):
     from skriva.plans import catalog_search
 
-    d = "/root/testdata/sf0.1"
-    exact, near = ({(r.query_id, r.chunk_id) for r in f(spark, d).collect()} for f in (catalog_search.cosine_topk, catalog_search.ann_cells))
-    assert len(exact & near) / len(exact) >= 0.9
+    for d in ("/root/testdata/sf0.01", "/root/testdata/sf0.1"):
+        for whole, index in ((catalog_search.cosine_topk, catalog_search.ann_cells), (catalog_search.cosine_seen, catalog_search.ann_scoped)):
+            exact, near = ({(r.query_id, r.chunk_id, r.score) for r in f(spark, d).collect()} for f in (whole, index))
+            assert len(exact & near) / len(exact) >= 0.9 and len(near) >= 0.9 * len(exact), (d, index.__name__)
+
+
+def test_vectors_are_replaced(spark):
+    schema = "vec_id bigint, embedding array<double>, label int"
+    own = spark.createDataFrame([(i, [float(i), 1.0], i) for i in range(1, 9)], schema)
+    cells, indexed, n = vectors.rebuild_index(own, keep=["label"])
+    new = spark.createDataFrame([(3, [0.0, 1.0], 30), (3, [0.0, 0.5], 31), (9, None, 9), (10, [1.0, 2.0, 3.0], 10), (None, [1.0, 1.0], 1)], schema)
+    got = {r.vec_id: r for r in vectors.upsert_vectors(indexed, new, cells).collect()}
+    assert set(got) == {*range(1, 11)} and got[3].embedding == [0.0, 1.0] and got[3].label == 30 and got[3].cell >= 0 and got[9].cell == got[10].cell == -1
+    assert {r.cell for r in vectors.upsert_vectors(indexed, new, None).where("vec_id IN (3, 9)").collect()} == {-1}
+    assert vectors.rebuild_index(own.limit(0))[0] is None
 
 
 def test_snapshots(spark, tmp_path):
@@ -210,7 +238,7 @@ def test_transcripts(spark):
     parsed = transcripts.parsed_lines(lines)
     got = [(r.kind, r.text) for r in transcripts.numbered(transcripts.codex_turns(parsed), "codex").orderBy("seq").collect()]
     assert got == [("user", "go"), ("command", "ls -l"), ("edit", "p"), ("result", "out")]
-    assert transcripts.folders(parsed).first()["cwd"] == "/w"
+    assert transcripts.folders_of(parsed).first()["cwd"] == "/w"
 
 
 def test_transcript_turns_have_no_cap(spark, monkeypatch):
