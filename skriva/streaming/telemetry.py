@@ -68,6 +68,7 @@ def attributed_reads(events: DataFrame, keep: int = OFFERED, idle_hours: float =
     """session_id, path, ts of the reads that follow an offer: a stream of session_id, path, kind, ts (TIMESTAMP), event_id.
 
     The state of a session is at most `keep` paths; it goes after `idle_hours` without events.
+    For that the stream runs empty batches for ever; a run that is to end needs `spark.sql.streaming.noDataMicroBatches.enabled` off.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

@@ -30,16 +30,19 @@ class Source:
         return self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(f"{self.folder}/in")
 
 
-def run(df, folder, mode):
+def run(df, folder, mode, empty_batches=True):
     """Runs what is there now, and gives the rows of all batches so far, by batch."""
     out = f"{folder}/out"
+    # A timeout by processing time would ask for empty batches for ever.
+    df.sparkSession.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", str(empty_batches).lower())
 
     def write(rows, number):
         rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     q = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert q.exception() is None
+    ended = q.awaitTermination(120)
+    q.stop()
+    assert ended and q.exception() is None
     return df.sparkSession.read.parquet(out)
 
 
@@ -69,9 +72,9 @@ def test_usage_counters_run_on(spark, tmp_path):
 def test_reads_are_attributed_across_batches(spark, tmp_path, keep):
     source = Source(spark, tmp_path, "session_id string, path string, kind string, ts timestamp, event_id bigint")
     source.add([("a", "x", "offer", at(0), 1), ("a", "y", "offer", at(1), 2), ("b", "x", "read", at(1), 3)])
-    run(streams.attributed_reads(source.stream(), keep), tmp_path, "append")
+    run(streams.attributed_reads(source.stream(), keep), tmp_path, "append", empty_batches=False)
     source.add([("a", "x", "read", at(2), 4), ("a", "x", "read", at(3), 5), ("a", "y", "read", at(4), 6), ("b", "y", "offer", at(5), 7), ("b", "y", "read", at(6), 8)])
-    got = run(streams.attributed_reads(source.stream(), keep), tmp_path, "append")
+    got = run(streams.attributed_reads(source.stream(), keep), tmp_path, "append", empty_batches=False)
     want = {("a", "x", at(2)), ("a", "y", at(4)), ("b", "y", at(6))} if keep == 200 else {("a", "y", at(4)), ("b", "y", at(6))}
     assert {(r.session_id, r.path, r.ts) for r in got.collect()} == want
     if keep == 200:
