@@ -199,14 +199,29 @@ def near_duplicate_classes(spark: SparkSession, d: str) -> DataFrame:
     return document_classes(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query(
-    f"""WITH {s.PASSAGES}, t AS (SELECT chunk_id, path, breadcrumb, {s.squeeze('body')} AS t FROM p),
+_DUPLICATES = f"""{s.PASSAGES}, t AS (SELECT chunk_id, path, breadcrumb, {s.squeeze('body')} AS t FROM p),
 g AS (SELECT DISTINCT chunk_id, substr(t, i, 5) AS g FROM (SELECT chunk_id, t, unnest(range(1, length(t) - 3)) AS i FROM t)),
 k AS (SELECT chunk_id, count(*) AS n FROM g GROUP BY chunk_id HAVING count(*) >= 10),
-shared AS (SELECT a.chunk_id AS l, b.chunk_id AS r, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.chunk_id < b.chunk_id GROUP BY ALL)
-SELECT l AS "left", r AS "right", x.path AS left_path, y.path AS right_path, x.breadcrumb AS left_heading, y.breadcrumb AS right_heading, round(c / least(m.n, o.n), 3) AS similarity
-FROM shared JOIN k m ON l = m.chunk_id JOIN k o ON r = o.chunk_id JOIN t x ON l = x.chunk_id JOIN t y ON r = y.chunk_id WHERE x.path IS DISTINCT FROM y.path AND c / least(m.n, o.n) >= 0.8"""
+shared AS (SELECT a.chunk_id AS l, b.chunk_id AS r, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.chunk_id < b.chunk_id GROUP BY ALL),
+d AS (SELECT l AS "left", r AS "right", x.path AS left_path, y.path AS right_path, x.breadcrumb AS left_heading, y.breadcrumb AS right_heading, round(c / least(m.n, o.n), 3) AS similarity
+FROM shared JOIN k m ON l = m.chunk_id JOIN k o ON r = o.chunk_id JOIN t x ON l = x.chunk_id JOIN t y ON r = y.chunk_id WHERE x.path IS DISTINCT FROM y.path AND c / least(m.n, o.n) >= 0.8)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_DUPLICATES}, e AS MATERIALIZED (SELECT "left" AS a, "right" AS b FROM d UNION ALL SELECT "right", "left" FROM d),
+reach AS (SELECT DISTINCT a AS node, a AS root FROM e UNION SELECT reach.node, e.b FROM reach JOIN e ON reach.root = e.a),
+roots AS (SELECT node, min(root) AS root FROM reach GROUP BY node), many AS (SELECT a AS node, count(*) AS links FROM e GROUP BY a)
+SELECT chunk_id, coalesce(roots.root, chunk_id) AS class_id, coalesce(links, 0) AS links FROM p LEFT JOIN roots ON roots.node = chunk_id LEFT JOIN many ON many.node = chunk_id"""
 )
+def passage_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each passage with its class of duplicates and the number of its links; copies aren't put together in pairs."""
+    from skriva.operators.neardup import passage_classes as find
+    from skriva.sources.tables import passages
+
+    return find(passages(table(spark, d, "chunks"), table(spark, d, "notes")))
+
+
+@query(f"WITH {_DUPLICATES} SELECT * FROM d")
 def passage_duplicates(spark: SparkSession, d: str) -> DataFrame:
     """Passages that are written down in another note too, whole or nearly."""
     from skriva.operators.neardup import passage_duplicates as find

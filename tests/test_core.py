@@ -155,6 +155,14 @@ def test_passage_duplicates_match_brute_force(spark, monkeypatch):
         for j, (q, b) in sets.items()
         if i < j and p != q and min(len(a), len(b)) >= 10 and len(a & b) / min(len(a), len(b)) >= 0.8
     }
+    links = {i: sum(i in p for p in want) for i in sets}
+    classes = {r.chunk_id: (r.class_id, r.links) for r in neardup.passage_classes(df).collect()}
+    assert {i: n for i, (_, n) in classes.items()} == links
+    root = {i: i for i in sets}
+    for _ in range(len(sets)):
+        for i, j in want:
+            root[i] = root[j] = min(root[i], root[j])
+    assert {i: c for i, (c, _) in classes.items()} == root
     got = [(r.left, r.right) for r in neardup.passage_duplicates(df).collect()]
     assert {(0, 1), (2, 3)} < want and len(want) > 3900
     assert len(got) == len(set(got)) and set(got) == want
