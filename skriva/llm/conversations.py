@@ -61,12 +61,11 @@ def fold_turns(turns: DataFrame, keep: str = "any", text: bool = False) -> DataF
         F.col("turn_id").cast("long").alias("turn_id"),
         "logged_at",
         symbol.cast("int").alias("symbol"),
-        F.xxhash64(*content).alias("h1"),
-        F.xxhash64(F.lit("2"), *reversed(content)).alias("h2"),
+        F.xxhash64(*content).alias("h"),
         *([F.when(placed & (symbol > 0), said).alias("text")] if text else []),
     ).where(F.col("session_id").isNotNull())
     groups = events.groupBy("session_id", "seq")
-    conflict = (F.col("seq").isNotNull() & ((F.min("h1") != F.max("h1")) | (F.min("h2") != F.max("h2")))).alias("conflict")
+    conflict = (F.col("seq").isNotNull() & (F.min("h") != F.max("h"))).alias("conflict")
     if keep == "any" and not text:
         return groups.agg(F.min("turn_id").alias("turn_id"), F.max("symbol").alias("symbol"), conflict)
     # A struct with a null first field is less than any other, and null ids less than all others.
@@ -78,17 +77,18 @@ def fold_turns(turns: DataFrame, keep: str = "any", text: bool = False) -> DataF
 def _blocks(folded: DataFrame, speakers: bool = False) -> DataFrame:
     """Per session and block of seq: its counts and its symbols, reduced to what its neighbours must know[, and the
     numbers of its speaking turns in order]."""
-    letters = F.element_at(F.array(F.lit(""), F.lit("O"), F.lit("A"), F.lit("U")), F.col("symbol") + 2)
-    ordered = F.array_sort(F.collect_list(F.when(F.col("seq").isNotNull(), F.struct("seq", letters.alias("s")))))
-    text = F.array_join(F.transform(ordered, lambda x: x["s"]), "")
-    speaking = F.array_sort(F.collect_list(F.when((F.col("symbol") > 0), F.col("seq"))))
+    # Number and symbol of a turn as one number, so that the order is that of the numbers.
+    ordered = F.array_sort(F.collect_list(F.col("seq") * 4 + F.col("symbol") + 1))
+    letters = F.array(F.lit(""), F.lit("O"), F.lit("A"), F.lit("U"))
+    text = lambda xs: F.array_join(F.transform(xs, lambda x: F.element_at(letters, (x % 4).cast("int") + 1)), "")
+    speaking = lambda xs: F.transform(F.filter(xs, lambda x: x % 4 >= 2), lambda x: F.floor(x / 4))
     blocks = folded.groupBy("session_id", F.floor(F.col("seq") / BLOCK).alias("block")).agg(
         F.count("seq").alias("n"),
         F.max("seq").alias("high"),
         F.max(F.col("seq").isNull()).alias("unnumbered"),
         F.max("conflict").alias("conflict"),
-        text.alias("s"),
-        *([speaking.alias("speaking")] if speakers else []),
+        text(ordered).alias("s"),
+        *([speaking(ordered).alias("speaking")] if speakers else []),
     )
     s = F.col("s")
     ends = F.concat(F.regexp_extract(s, "^O*[UA]", 0), F.regexp_extract(s, "[UA]O*$", 0))
