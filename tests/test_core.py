@@ -97,6 +97,54 @@ def test_search_and_selection(spark):
     assert select.choose([(1, 1, long), (2, 1, long)], 8, 10) == ([1], 1, 1, 0)
 
 
+def test_rankings_match_brute_force_in_small_blocks(spark, monkeypatch):
+    import math
+    import random
+
+    from skriva.operators import postings
+
+    for name, value in {"ROW_DOCS": 16, "BLOCK_POSTINGS": 60, "BLOCK_DOCS": 40}.items():
+        monkeypatch.setattr(postings, name, value)
+    monkeypatch.setattr(search, "BLOCK_CHARS", 12)
+    r = random.Random(3)
+    words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta"]
+    # Id 7 stands in two passages, of which one is in the scope.
+    rows = [(i, "", "", "", " ".join(r.choices(words, k=r.randint(1, 5))), 5, "x" if i % 3 else "y") for i in range(120)] + [(7, "", "", "", "zeta alpha", 5, "y")]
+    p = spark.createDataFrame(rows, "chunk_id bigint, title string, tags string, breadcrumb string, body string, tokens int, project string").repartition(3)
+    asked = {1: "alpha", 2: "beta gamma", 3: "zeta alpha delta", 4: "gamma BETA", 5: None}
+    q = spark.createDataFrame(list(asked.items()), "query_id bigint, text string")
+    mean = sum(max(0, len(x[4]) - 2) for x in rows) / len(rows)
+    idf = {w: max(math.log((len(rows) - n + 0.5) / (n + 0.5)), 0) or 1e-6 for w in words for n in [sum(w in x[4] for x in rows)]}
+    part = lambda w, x: -idf[w] * x[4].count(w) * 2.2 / (x[4].count(w) + 1.2 * (0.25 + 0.75 * max(0, len(x[4]) - 2) / mean))
+    for scope in (None, "y"):
+        want = set()
+        seen = {x[0] for x in rows if scope in (None, x[6])}
+        for i, text in asked.items():
+            terms = set((text or "").lower().split())
+            held = {c: [(w, x) for x in rows if x[0] == c for w in terms if w in x[4]] for c in seen}
+            scores = sorted((round(sum(part(w, x) for w, x in h), 6), c) for c, h in held.items() if h)
+            want |= {(i, "keyword", k + 1, c, s) for k, (s, c) in enumerate(scores[:20])}
+            full = [x for x in scores if len(held[x[1]]) == len(terms) > 1]
+            want |= {(i, "all-terms", k + 1, c, s) for k, (s, c) in enumerate(full[:20])}
+        got = [tuple(x) for x in search.keyword_rankings(p, q, 20, None if scope is None else F.col("project") == scope).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_rankings_write_no_pairs(spark):
+    """What is written grows with the passages, not with the queries times the passages."""
+    import os
+
+    from skriva.session import shared_folder
+
+    d = shared_folder(spark).removeprefix("file:")
+    size = lambda: sum(os.path.getsize(os.path.join(a, f)) for a, _, fs in os.walk(d) for f in fs)
+    p = spark.range(5000).selectExpr("id AS chunk_id", "'' AS title", "'' AS tags", "'' AS breadcrumb", "concat('common words ', id) AS body", "1 AS tokens", "'' AS project")
+    q = spark.range(300).selectExpr("id AS query_id", "concat('common words ', id, ' of query') AS text")
+    before = size()
+    assert search.keyword_rankings(p, q, 20, labels=("keyword",)).count() == 300 * 20
+    assert size() - before < 300_000
+
+
 def test_blocked_equals_window(spark, monkeypatch):
     monkeypatch.setattr(blocked, "BLOCK", 3)
     df = spark.createDataFrame([("k", i, None if i % 4 else f"v{i}") for i in range(20)] + [(None, 1, "z")], "k string, i bigint, v string").where("k IS NOT NULL")
