@@ -153,6 +153,14 @@ def test_all_terms_takes_the_whole_log(spark):
     assert len({i % 50 for i in ids}) > 10
 
 
+def test_search_takes_the_whole_log(spark):
+    import __spark_entry__ as entry
+
+    d = "/root/testdata/sf0.001"
+    ids = {r.query_id for r in entry.queries()["search_hybrid"](spark, d).collect()}
+    assert len({i % 50 for i in ids}) > 10
+
+
 def test_blocked_equals_window(spark, monkeypatch):
     monkeypatch.setattr(blocked, "BLOCK", 3)
     df = spark.createDataFrame([("k", i, None if i % 4 else f"v{i}") for i in range(20)] + [(None, 1, "z")], "k string, i bigint, v string").where("k IS NOT NULL")
