@@ -145,6 +145,32 @@ def test_rankings_write_no_pairs(spark):
     assert size() - before < 300_000
 
 
+def test_selection_counts_each_passage_of_a_repeated_id_once(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    d = str(tmp_path)
+    # Chunk 1 stands in two notes with different texts; queries 50 and 100 have the same text.
+    chunks = [(1, 1, 0, "", "alpha of the durable note", 9), (1, 2, 0, "", "alpha of the journal", None), (2, 1, 1, "", "nothing of it", 4)]
+    notes = [(1, "a.md", "", [], 1.0, "", "", "durable"), (2, "b.md", "", [], 1.0, "", "", "journal")]
+    spark.createDataFrame(chunks, "chunk_id bigint, note_id bigint, seq int, breadcrumb string, body string, tokens int").write.parquet(f"{d}/chunks.parquet")
+    spark.createDataFrame(notes, "note_id bigint, path string, title string, tags array<string>, mtime double, digest string, project string, tier string").write.parquet(f"{d}/notes.parquet")
+    spark.createDataFrame([(50, "alpha"), (100, "alpha"), (150, "absent"), (200, None)], "id bigint, text string").write.parquet(f"{d}/queries.parquet")
+    for name, extra in (("budget_select", ()), ("redundancy_select", (0,))):
+        rows = {tuple(r) for r in entry.queries()[name](spark, d).collect()}
+        assert rows == {(i, "1,1", 2, 9 + 5, 2, 0, *extra) for i in (50, 100)}
+
+
+def test_selection_reads_texts_in_blocks(spark, monkeypatch):
+    from skriva.session import stored
+
+    monkeypatch.setattr(select, "BLOCK_ITEMS", 3)
+    texts = {i: f"passage {i % 5} of the same few words that are said again and again {i % 5}" for i in range(12)}
+    p = spark.createDataFrame([(i, t, 1, 1) for i, t in texts.items()], "chunk_id bigint, body string, tokens int, cost int")
+    kept = stored(p, "row")
+    ordered = kept.crossJoin(spark.range(1, 6).withColumnRenamed("id", "query_id")).withColumn("position", F.col("chunk_id") % (F.col("query_id") + 2) * 100 + F.col("chunk_id")).where("position % 7 <> 3")
+    assert sorted(select.select_stored(ordered, kept, 8, 5).collect()) == sorted(select.select_hits(ordered, p, 8, 5).collect())
+
+
 def test_all_terms_takes_the_whole_log(spark):
     import __spark_entry__ as entry
 
