@@ -271,6 +271,35 @@ def test_vectors_recall(spark):
     assert [(r.query_id, r.chunk_id) for r in vectors.cosine_ranking(odd.where("vec_id = 1"), odd, 5).collect()] == [(1, 1)]
 
 
+def test_stored_ranking_equals_the_exact_one_and_shuffles_only_the_best(spark, monkeypatch):
+    import numpy as np
+
+    from skriva.session import stored
+
+    monkeypatch.setattr(vectors, "QUERY_ROWS", 7)
+    monkeypatch.setattr(vectors, "VECTOR_ROWS", 50)
+    r = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in r.integers(-2, 3, 6)]) for i in range(600)] + [(600, None), (601, [0.0] * 6), (602, [1.0] * 5)]
+    v = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(4)
+    q = v.where("vec_id % 9 = 0")
+    got = sorted(tuple(x) for x in vectors.stored_ranking(q, stored(v.where("vec_id < 602")), 10).collect())
+    assert got and got == sorted(tuple(x) for x in vectors.cosine_ranking(q.where("vec_id < 602"), v.where("vec_id < 602"), 10).collect())
+
+
+def test_search_of_a_log_in_parts(spark, monkeypatch):
+    from skriva import memory
+    from skriva.session import stored
+
+    monkeypatch.setattr(memory, "SEARCHED_AT_ONCE", 2)
+    rows = [(i, f"n{i}.md", "", "", "", f"alpha {w} text of {i}", 5, p, "durable", 5) for i, (w, p) in enumerate([("beta", "x"), ("gamma", "y"), ("beta", "y"), ("delta 設計", "x")])]
+    p = stored(spark.createDataFrame(rows, "chunk_id bigint, path string, title string, tags string, breadcrumb string, body string, tokens int, project string, tier string, cost int"), "row")
+    q = spark.createDataFrame([(1, "alpha"), (2, "gamma"), (3, "alpha"), (4, "beta text"), (5, None), (6, "設計"), (7, "gamma")], "query_id bigint, text string")
+    none = lambda asked: asked.selectExpr("query_id", "'semantic' AS label", "1L AS rank", "query_id AS chunk_id", "1.0D AS score").where("false")
+    got = sorted(tuple(x) for x in memory.search_log(p, q, none, scope="project", project="x").collect())
+    assert got == sorted(tuple(x) for x in memory.search_batch(p.drop("row"), q, scope="project", project="x").collect())
+    assert {x[0] for x in got if x[-1]} == {2, 7}
+
+
 def test_registered_index_search_finds_its_share(spark):
     from skriva.plans import catalog_search
 
