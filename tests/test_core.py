@@ -179,6 +179,33 @@ def test_all_terms_takes_the_whole_log(spark):
     assert len({i % 50 for i in ids}) > 10
 
 
+def test_all_terms_looks_only_for_what_it_ranks(spark, monkeypatch):
+    """No single terms and no windows in its index; passages that cannot be among the best are left out early, without a change to the result."""
+    import random
+
+    import pyarrow as pa
+
+    from skriva.operators import postings
+
+    r = random.Random(5)
+    words = ["alpha", "beta", "gamma", "delta"]
+    p = spark.createDataFrame([(i, "", "", "", " ".join(r.choices(words, k=r.randint(2, 12)))) for i in range(3000)], "chunk_id bigint, title string, tags string, breadcrumb string, body string").repartition(12)
+    q = spark.createDataFrame([(1, "alpha beta"), (2, "gamma delta alpha"), (3, "single"), (4, "検索語彙の窓")], "query_id bigint, text string")
+    index = search.keyword_index(p, q, labels=("all-terms",))
+    assert len(index.files) > 3
+    assert {t for row in postings._rows(index.files, ["terms"]) for t in row["terms"].as_py()} == set(words)
+    assert {x.query_id for x in search.keyword_rankings(p, q, 8, labels=("all-terms",)).collect()} == {1, 2}
+    terms = [["alpha", "beta"], ["alpha", "delta", "gamma"], words]
+    batch = pa.RecordBatch.from_pydict({"unit": [1, 2, 3], "terms": terms, "n": [2, 3, 4], "windows": pa.array([[]] * 3, pa.list_(pa.string()))})
+    # In this process, where the blocks are small.
+    ranked = lambda: [x for b in postings._ranked(index, 8, ("all-terms",), False, True)(iter([batch])) for x in b.to_pylist()]
+    monkeypatch.setattr(postings, "BLOCK_DOCS", 300)
+    monkeypatch.setattr(postings, "TIERS", (0.0, 0.1, 0.5))
+    few = ranked()
+    monkeypatch.setattr(postings._Best, "most", lambda *_: float("inf"))
+    assert len(few) == 24 and few == ranked()
+
+
 def test_search_takes_the_whole_log(spark):
     import __spark_entry__ as entry
 
