@@ -39,17 +39,18 @@ _EMAIL = re.compile(
     r"(?i)(?:mailto:)?(?P<v>[\w.+\-']{1,64}(?:@| ?[\[(] ?at ?[\])] ?)(?:[\w\-]{1,63}(?:\.| ?[\[(] ?dot ?[\])] ?)){1,6}[\w\-]{2,24})"
 )
 _DIGITS = re.compile(r"(?<![\w.\-/:])(?:\+|\()?\d[\d ().\-]{5,24}\d(?![\w])(?:,? ?(?:ext|x|Durchwahl|内線)\.? ?\d{1,5})?")
+# A pattern that begins with a set of characters is looked for much faster, so what may not stand before comes after it: `.` is the first.
 _ID = [
     re.compile(p)
     for p in (
-        r"(?<![\w/+=\-])[A-Z]{2}\d{2} ?(?:[A-Z0-9]{4} ?){2,7}[A-Z0-9]{1,4}(?![\w/+=])",
-        r"(?<![\w.\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
-        r"(?<![\w/+=\-])(?=[A-Z0-9]{7,18}\b)[A-Z]{1,6}\d{5,9}[A-Z0-9]{0,5}(?![\w/+=])",
-        r"\b[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]\b",
-        r"\b[A-Z]{2} [A-Z0-9]{2}(?: [A-Z0-9]{4}){3,7}\b",
-        r"(?<![\w.\-])\d{3}\.\d{3}\.\d{3}-\d{2}(?![\w\-])",
-        r"(?<![\w.\-])\d{6,8}-?[A-Z\d]{1,4}(?![\w\-])",
-        r"(?<![\w/+=\-])(?=[A-Z]*\d[A-Z\d]*\d[A-Z\d]*\d)[A-Z][A-Z0-9]{7,9}(?![\w/+=\-])",
+        r"[A-Z](?<![\w/+=\-].)[A-Z]\d{2} ?(?:[A-Z0-9]{4} ?){2,7}[A-Z0-9]{1,4}(?![\w/+=])",
+        r"\d(?<![\w.\-].)\d{2}-\d{2}-\d{4}(?![\w\-])",
+        r"[A-Z](?<![\w/+=\-].)(?=[A-Z0-9]{6,17}\b)[A-Z]{0,5}\d{5,9}[A-Z0-9]{0,5}(?![\w/+=])",
+        r"[A-Z](?<!\w.)[A-Z] ?\d{2} ?\d{2} ?\d{2} ?[A-D]\b",
+        r"[A-Z](?<!\w.)[A-Z] [A-Z0-9]{2}(?: [A-Z0-9]{4}){3,7}\b",
+        r"\d(?<![\w.\-].)\d{2}\.\d{3}\.\d{3}-\d{2}(?![\w\-])",
+        r"\d(?<![\w.\-].)\d{5,7}-?[A-Z\d]{1,4}(?![\w\-])",
+        r"[A-Z](?<![\w/+=\-].)(?=[A-Z]*\d[A-Z\d]*\d[A-Z\d]*\d)[A-Z0-9]{7,9}(?![\w/+=\-])",
     )
 ]
 # Words of streets.
@@ -77,11 +78,13 @@ _ADDRESS = [
 # Latin letters of names.
 _UP, _LOW = "A-ZÀ-ÖØ-ÞČĐĘŁŃŚŞŠŹŻŽİ", "a-zß-öø-ÿāăąćčđēęěğīıłńňőœřśşšťūůűźżž"
 _TOKEN = rf"[{_UP}][{_LOW}]+(?:-[{_UP}][{_LOW}]+)?"
+#: A token at the start of a word.
+_FIRST = rf"[{_UP}](?<!\w.)[{_LOW}]+(?:-[{_UP}][{_LOW}]+)?"
 _NAME = [
     re.compile(p)
     for p in (
-        rf"\b(?P<v>{_TOKEN},? (?:[A-Z]\.? )?{_TOKEN})\b(?!\w)",
-        rf"(?<!\w)(?P<v>(?:[A-Z]\. ?){{1,2}}{_TOKEN})\b",
+        rf"(?P<v>{_FIRST},? (?:[A-Z]\.? )?{_TOKEN})\b(?!\w)",
+        rf"(?P<v>[A-Z](?<!\w.)\. ?(?:[A-Z]\. ?)?{_TOKEN})\b",
         rf"\b(?:Dr|Mr|Mrs|Ms|Miss|Prof|Sir|Lady|Frau|Herr|Mme|Mlle|Monsieur|Madame|Sr|Sra|Srta|Señora?|Signora?|Dott)\.? (?P<v>{_TOKEN}(?: {_TOKEN})?)\b",
         rf"\b(?P<v>[{_UP}]{{3,}} [{_UP}]{{3,}})\b",
         rf"(?:-by|author|assignee|owner|reviewer|reporter|contact|attn|from|to|cc|name|kontakt|ansprechpartner)[\"']?\s?[:=]\s?[\"']?(?P<v>[{_LOW}]{{2,}}(?: [{_LOW}]\.?)? [{_LOW}\-]{{2,}})\b(?!@)",
@@ -165,8 +168,9 @@ def _triples(word: str) -> list[str]:
 
 def candidates(s: str, names: Names) -> tuple[str, list[tuple[int, int, str]]]:
     """The text with wide forms made plain, and the proposed (start, end, type), overlapping and without order."""
-    if _HAS_WIDE.search(s):
+    if not s.isascii() and _HAS_WIDE.search(s):
         s = s.translate(_WIDE)
+    ascii_only = s.isascii()
     out: list[tuple[int, int, str]] = []
     if "@" in s or "at)" in s or "at]" in s or "AT)" in s or "AT]" in s:
         out += [(*m.span("v"), "email") for m in _EMAIL.finditer(s)]
@@ -181,20 +185,23 @@ def candidates(s: str, names: Names) -> tuple[str, list[tuple[int, int, str]]]:
             out += [(*m.span(), "idnumber") for m in rx.finditer(s)]
     low = s.lower()
     if _ANY_DIGIT.search(s):
-        for words, rx in _ADDRESS:
-            if any(w in low for w in words):
-                out += [(*m.span(), "address") for m in rx.finditer(s)]
+        for words, rx in _ASCII_ADDRESS if ascii_only else _ADDRESS:
+            for w in words:
+                if w in low:
+                    out += [(*m.span(), "address") for m in rx.finditer(s)]
+                    break
     seen = set()
-    for rx in _NAME[:3] if s.isascii() else _NAME[:3] + _NAME[5:]:
+    for rx in _NAME[:3] if ascii_only else _NAME[:3] + _NAME[5:]:
         seen.update(m.span("v") for m in rx.finditer(s))
     if _CAPS.search(s):
         seen.update(m.span("v") for m in _NAME[3].finditer(s))
     if ":" in s or "=" in s:
         # Places in `low` are those in `s` unless lowering changed a length.
         seen.update(m.span("v") for m in _NAME[4].finditer(low if len(low) == len(s) else s))
-    for m in _WORD.finditer(s):
-        if m[0] in names.exact or m[0].lower() in names.common or s[max(0, m.start() - 7) : m.start()].lower().endswith(_SPOKEN_TO):
-            seen.add(m.span())
+    for m in (_ASCII_WORD if ascii_only else _WORD).finditer(s):
+        a = m.start()
+        if (w := m[0]) in names.exact or w.lower() in names.common or a and s[a - 1] == " " and s[max(0, a - 7) : a].lower().endswith(_SPOKEN_TO):
+            seen.add((a, m.end()))
     out += [(a, b, "name") for a, b in seen]
     return s, out
 
@@ -205,11 +212,20 @@ _ANY_DIGIT = re.compile(r"\d")
 _SPOKEN_TO = ("talk to ", "k to ", "e to ", "n to ", "to ", "with ", "by ", "ask ", "asked ", "met ", "thanks ", "from ", "for ", "mit ", "von ", "bei ", "frag ")
 #: A word that may be a name by itself.
 _WORD = re.compile(rf"\b[{_UP}][{_LOW}]+\b|[ァ-ヶー]{{2,12}}|[一-鿿]{{1,4}}")
+#: The same in a text of ASCII only, and the addresses that can stand in one.
+_ASCII_WORD = re.compile(r"[A-Z](?<!\w.)[a-z]+\b")
+_ASCII_ADDRESS = [(own, rx) for words, rx in _ADDRESS if (own := tuple(w for w in words if w.isascii()))]
 _SPLIT = re.compile(r"[\s,.・\"'\-]+")
 #: Words of the training frames that are no names: what a title or a product is made of.
 _ORDINARY = frozenset(w.lower() for f in pii_snippets.FRAMES + pii_snippets.FILLERS for w in re.findall(r"[A-Za-z]{2,}", re.sub(r"\{\w+\}", " ", f))) | frozenset(w for x in pii_snippets._FILL.values() for w in x)
 
 
+@lru_cache(maxsize=20_000)
+def _context(low: str, right: str) -> tuple[float, ...]:
+    """Which words stand before and after a span; several spans of a text share them, and texts repeat."""
+    return (*(float(bool(rx.search(low))) for rx in _LEFT_RX), *(float(bool(rx.search(right))) for rx in _RIGHT_RX))
+
+
 def features(s: str, a: int, b: int, kind: str, names: Names) -> list[float]:
     """Format and context of a proposed span, as numbers; the same places for every type."""
     v = s[a:b]
@@ -218,8 +234,7 @@ def features(s: str, a: int, b: int, kind: str, names: Names) -> list[float]:
     right_line = right.partition("\n")[0]
     prev, after = s[a - 1] if a else "\n", s[b] if b < len(s) else "\n"
     f = [float(kind == t) for t in TYPES]
-    f += [float(bool(rx.search(low))) for rx in _LEFT_RX]
-    f += [float(bool(rx.search(right_line.lower()))) for rx in _RIGHT_RX]
+    f += _context(low, right_line.lower())
     groups = [len(g) for g in _GROUP.findall(v)]
     digits = sum(groups)
     letters = sum(map(str.isalpha, v))
